@@ -47,3 +47,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Up to so many rows a side of a join is sent to every task.
+MAX_BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """`df`, marked for broadcast if it is found to have at most `limit` rows; else as it is, for Spark to join by shuffle.
+
+    The rows are fetched once for the check, `limit` + 1 of them at most, and the fetched ones are what is broadcast, so a
+    small aggregate is not computed twice.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
