@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.session import cut_lineage
+from corvane.session import broadcast_if_small, cut_lineage
 
 _EPS = 1e-9
 
@@ -74,28 +75,9 @@ def plan_sources(sizes: DataFrame, targets: DataFrame, source: str = "source", t
     )
 
 
-def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: str = "source", total: float | None = None, seed: int = 7, leaf_rows: int = 20_000, fan_in: int = 16) -> DataFrame:
-    """(id, source, n_tokens, copies, target_share, source_share): every row of `sizes` with the copies it was given.
-
-    A row has floor or ceiling of its source's expected copies, never more than max_repeats; 0 is "not chosen" and stays in the
-    result. source_share is what the source reached of the mixture's tokens. Rows whose source is null or has no target get
-    0. Rows that repeat an id are rows of their own. Null sizes count as 0. An empty table gives an empty result.
-    """
-    kind = sizes.schema[id_col].dataType.simpleString()
-    known = sizes.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    # Written once with row numbers: tokens are counted once, and every retry of a task sees the same rows.
-    rows = cut_lineage(known.withColumn("_row", F.monotonically_increasing_id()))
-    plan = plan_sources(rows, targets.withColumnRenamed(source, "source"), "source", total)
-    copies = F.coalesce("expected_copies", F.lit(0.0))
-    leaves = F.ceil(F.col("n_docs") / leaf_rows)
-    start = rows.join(plan, "source", "left").select(
-        "id", "source", "n_tokens", "_row",
-        F.floor(copies).cast("long").alias("base"),
-        (copies - F.floor(copies)).alias("fraction"),
-        F.pmod(F.xxhash64("_row", F.lit(seed)), F.greatest(F.coalesce(leaves, F.lit(1)), F.lit(1))).cast("int").alias("_node"),
-        F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
-    )
-    schema = f"id {kind}, source string, n_tokens long, _row long, base long, fraction double, _node int, target_share double, settled boolean"
+def _settle(rows: DataFrame, seed: int, fan_in: int) -> DataFrame:
+    """`rows` with the whole copies that pivotal rounding gives them added to `base`: leaves, reduction tree, root."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("settled", T.BooleanType())])
 
     def rounded(rows: pd.DataFrame, level: int) -> pd.DataFrame:
         """`rows`, of one source, with whole copies, but for one open fraction at most.
@@ -112,10 +94,9 @@ def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: st
             left[open_], settled[open_] = fraction[open_], False
         return rows.assign(base=rows["base"] + np.array(whole), fraction=left, settled=settled)
 
-    sure = start.where(F.col("fraction") <= _EPS).withColumn("settled", F.lit(True))
-    nodes = start.agg(F.max("_node")).first()[0]
-    step = cut_lineage(start.where(F.col("fraction") > _EPS).groupBy("source", "_node").applyInPandas(lambda g: rounded(g, 0), schema))
-    settled, open_, level, nodes = sure.unionByName(step.where("settled")), step.where("NOT settled"), 0, (nodes or 0) + 1
+    step = cut_lineage(rows.groupBy("source", "_node").applyInPandas(lambda g: rounded(g, 0), schema))
+    settled, open_, level = step.where("settled"), step.where("NOT settled"), 0
+    nodes = (open_.agg(F.max("_node")).first()[0] or 0) + 1
     while nodes > 1:
         # A node of the tree holds at most fan_in open rows of one source.
         level, nodes = level + 1, -(-nodes // fan_in)
@@ -123,11 +104,49 @@ def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: st
         step = cut_lineage(up.groupBy("source", "_node").applyInPandas(lambda g, level=level: rounded(g, level), schema))
         settled, open_ = settled.unionByName(step.where("settled")), step.where("NOT settled")
     # The root: one fraction per source at most, settled by its own draw.
-    at_root = F.when(F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1_000_003)) / 1_000_003 < F.col("fraction"), 1).otherwise(0)
-    whole = settled.unionByName(open_.withColumn("base", F.col("base") + at_root))
+    draw = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    last = open_.withColumn("base", F.col("base") + F.when(draw < F.col("fraction"), 1).otherwise(0))
+    return settled.unionByName(last).drop("settled")
+
+
+def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: str = "source", total: float | None = None, seed: int = 7, leaf_rows: int = 20_000, fan_in: int = 16, head: float = 0.03) -> DataFrame:
+    """(id, source, n_tokens, copies, target_share, source_share): every row of `sizes` with the copies it was given.
+
+    A row has floor or ceiling of its source's expected copies, never more than max_repeats; 0 is "not chosen" and stays in the
+    result. source_share is what the source reached of the mixture's tokens. Rows whose source is null or has no target get
+    0. Rows that repeat an id are rows of their own. Null sizes count as 0. An empty table gives an empty result.
+    """
+    known = sizes.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    # Written once with row numbers: tokens are counted once, and every retry of a task sees the same rows.
+    rows = cut_lineage(known.withColumn("_row", F.monotonically_increasing_id()))
+    plan = broadcast_if_small(plan_sources(rows, targets.withColumnRenamed(source, "source"), "source", total))
+    copies = F.coalesce("expected_copies", F.lit(0.0))
+    leaves = F.coalesce(F.ceil(F.col("n_docs") / leaf_rows), F.lit(1))
+    shape = rows.join(plan, "source", "left").select(
+        "id", "source", "n_tokens", "_row",
+        F.floor(copies).cast("long").alias("base"),
+        (copies - F.floor(copies)).alias("fraction"),
+        F.pmod(F.xxhash64("_row", F.lit(seed)), leaves).cast("int").alias("_node"),
+        F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
+        copies.alias("_copies"),
+        (F.col("n_tokens") > head * copies * F.col("size")).alias("_head"),
+    )
+    start = shape.drop("_head")
+    open_rows = F.col("fraction") > _EPS
+    # A document that is a good part of its source's target by itself is settled first; what it came out above or below its
+    # expectation is then taken from, or given to, all the shorter ones, which keeps the source's total and every expectation.
+    heads = _settle(shape.where(open_rows & F.col("_head")).drop("_head"), seed, fan_in)
+    gone = heads.groupBy("source").agg(F.sum((F.col("base") - F.col("_copies")) * F.col("n_tokens")).alias("_gone"))
+    tail = shape.where(open_rows & ~F.coalesce("_head", F.lit(False))).drop("_head")
+    room = tail.groupBy("source").agg(F.sum("n_tokens").alias("_room"))
+    shift = broadcast_if_small(room.join(gone, "source").select("source", (F.col("_gone") / F.nullif(F.col("_room"), F.lit(0))).alias("_shift")))
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction") - F.coalesce("_shift", F.lit(0.0))))
+    tail = tail.join(shift, "source", "left").withColumn("fraction", moved).drop("_shift")
+    whole = start.where(~open_rows).unionByName(heads).unionByName(_settle(tail.select(start.columns), seed + 1, fan_in))
+    whole = cut_lineage(whole)
     reached = whole.groupBy("source").agg(F.sum(F.col("base") * F.col("n_tokens")).alias("_t"))
     reached = reached.withColumn("source_share", F.coalesce(F.col("_t") / F.nullif(F.sum("_t").over(Window.partitionBy(F.lit(0))), F.lit(0)), F.lit(0.0)))
-    shares = reached.select(F.col("source").alias("_s"), "source_share")
+    shares = broadcast_if_small(reached.select(F.col("source").alias("_s"), "source_share"))
     joined = whole.join(shares, F.col("source").eqNullSafe(F.col("_s")))
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source), "n_tokens", F.col("base").alias("copies"), "target_share", "source_share")
 
