@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from corvane.llm.mixing import mix, mixture_report
+from corvane.llm.neighbours import neighbour_pairs, similar_neighbours
 from corvane.llm.packing import fill_containers
 from corvane.llm.skeleton import look_alike_pairs, look_classes
 from corvane.llm.tokens import token_sizes
@@ -17,6 +20,29 @@ def _query(f):
     return f
 
 
+@_query
+def p6_found(spark, sf_dir):
+    parts = []
+    for name, key in (("variants", "variation_id"), ("nephrogenetics", "id")):
+        rows = table(spark, sf_dir, name).select(F.col(key).cast("long").alias("id"), "embedding")
+        pairs = neighbour_pairs(similar_neighbours(rows, "id", "embedding", k=5, min_cosine=0.95), "id")
+        parts.append(pairs.select(F.lit(name).alias("tbl"), "id_a", "id_b"))
+    return parts[0].unionByName(parts[1])
+
+
+_SQL["p6_found"] = """
+WITH v AS (
+  SELECT 'variants' AS tbl, variation_id::BIGINT AS id, any_value(embedding)::DOUBLE[] AS e FROM variants
+  WHERE list_sum(list_transform(embedding, lambda x: x * x)) > 0 GROUP BY variation_id
+  UNION ALL
+  SELECT 'nephrogenetics', id, any_value(embedding)::DOUBLE[] FROM nephrogenetics
+  WHERE list_sum(list_transform(embedding, lambda x: x * x)) > 0 GROUP BY id),
+p AS (SELECT a.tbl, a.id AS id, b.id AS other, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.tbl = b.tbl AND a.id <> b.id),
+n AS (SELECT * FROM p WHERE c >= 0.95 QUALIFY row_number() OVER (PARTITION BY tbl, id ORDER BY c DESC, other) <= 5)
+SELECT DISTINCT tbl, least(id, other) AS id_a, greatest(id, other) AS id_b FROM n
+"""
+
+
 @_query
 def p7_containers(spark, sf_dir):
     """Which document, or piece of one above 2,048 tokens, lies in which container."""
