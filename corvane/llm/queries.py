@@ -8,6 +8,7 @@ from corvane.llm.mixing import mix, mixture_report
 from corvane.llm.neighbours import neighbour_pairs, similar_neighbours
 from corvane.llm.packing import fill_containers
 from corvane.llm.skeleton import look_alike_pairs, look_classes
+from corvane.llm.splitting import split_items
 from corvane.llm.tokens import token_sizes
 from corvane.session import table
 
@@ -20,6 +21,41 @@ def _query(f):
     return f
 
 
+#: The two tables of sections and their text columns.
+_SECTIONS = (("genereviews_sections", "text"), ("genereviews_chunks", "chunk_text"))
+
+
+def _section_pieces(spark, sf_dir, with_text):
+    parts = []
+    for name, text in _SECTIONS:
+        rows = table(spark, sf_dir, name)
+        pieces = split_items(rows, "id", text, keep=["section_id", "chunk_index"], with_text=with_text)
+        parts.append(pieces.withColumn("tbl", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+@_query
+def p5_found(spark, sf_dir):
+    pieces = _section_pieces(spark, sf_dir, with_text=False)
+    return pieces.where(F.col("n_chars") > 2_000).select("tbl", "id", "cut_kind").distinct()
+
+
+@_query
+def p5_pieces(spark, sf_dir):
+    """Every piece of every section and chunk, with its place in the text."""
+    return _section_pieces(spark, sf_dir, with_text=True)
+
+
+_SQL["p5_found"] = r"""
+WITH t AS (SELECT 'genereviews_sections' AS tbl, id, text AS x FROM genereviews_sections
+           UNION ALL SELECT 'genereviews_chunks', id, chunk_text FROM genereviews_chunks)
+SELECT DISTINCT tbl, id,
+  CASE WHEN list_max(list_transform(string_split_regex(regexp_replace(x, '([.!?])\s+', '\1' || chr(10), 'g'), '[\n\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}]+'),
+                                    lambda s: length(regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '')))) > 2000 THEN 'forced' ELSE 'boundary' END AS cut_kind
+FROM t WHERE length(x) > 2000
+"""
+
+
 @_query
 def p6_found(spark, sf_dir):
     parts = []
