@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.llm.mixing import mix, mixture_report
 from corvane.llm.neighbours import neighbour_pairs, similar_neighbours
 from corvane.llm.packing import fill_containers
+from corvane.llm.pairs import find_defects
 from corvane.llm.skeleton import look_alike_pairs, look_classes
 from corvane.llm.splitting import split_items
 from corvane.llm.tokens import token_sizes
@@ -21,6 +22,11 @@ def _query(f):
     return f
 
 
+@_query
+def p3_found(spark, sf_dir):
+    return find_defects(table(spark, sf_dir, "audit_logs"))
+
+
 #: The two tables of sections and their text columns.
 _SECTIONS = (("genereviews_sections", "text"), ("genereviews_chunks", "chunk_text"))
 
