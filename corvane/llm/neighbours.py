@@ -151,7 +151,7 @@ def clean_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = No
     return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(clean, f"id {kind}, vkey binary, v array<float>")
 
 
-def _within(c: float, bits: int = 128, deviations: float = 6.0) -> int:
+def _within(c: float, bits: int = 128, deviations: float = 4.0) -> int:
     """How many of `bits` signs may differ for a cosine of at least `c`, up to so many standard deviations."""
     p = math.acos(max(-1.0, min(1.0, c))) / math.pi
     return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
