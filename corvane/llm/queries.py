@@ -8,6 +8,7 @@ from corvane.llm.mixing import mix, mixture_report
 from corvane.llm.neighbours import neighbour_pairs, similar_neighbours
 from corvane.llm.packing import fill_containers
 from corvane.llm.pairs import find_defects
+from corvane.llm.personal import sanitise
 from corvane.llm.skeleton import look_alike_pairs, look_classes
 from corvane.llm.splitting import split_items
 from corvane.llm.tokens import token_sizes
@@ -22,6 +23,19 @@ def _query(f):
     return f
 
 
+@_query
+def p1_found(spark, sf_dir):
+    found = sanitise(table(spark, sf_dir, "audit_logs"), "id", ["query_text", "response_text"], table(spark, sf_dir, "person_names"), with_text=False)
+    return found.select("id", "field_name", F.explode("types").alias("pii_type")).distinct()
+
+
+@_query
+def p1_sanitised(spark, sf_dir):
+    """The texts themselves, with a placeholder for every detail."""
+    clean = sanitise(table(spark, sf_dir, "audit_logs"), "id", ["query_text", "response_text"], table(spark, sf_dir, "person_names"))
+    return clean.select("id", "field_name", "clean", F.array_join("types", ",").alias("types"))
+
+
 @_query
 def p3_found(spark, sf_dir):
     return find_defects(table(spark, sf_dir, "audit_logs"))
