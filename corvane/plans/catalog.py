@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import problems
+from corvane.plans import problems, retrieval
 from corvane.plans.registry import Query
 
-_PARTS = [problems.registry]
+_PARTS = [problems.registry, retrieval.registry]
 
 
 def queries() -> dict[str, Query]:
