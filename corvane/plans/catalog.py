@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import problems, retrieval
+from corvane.plans import problems, retrieval, storage, texts
 from corvane.plans.registry import Query
 
-_PARTS = [problems.registry, retrieval.registry]
+_PARTS = [problems.registry, retrieval.registry, texts.registry, storage.registry]
 
 
 def queries() -> dict[str, Query]:
