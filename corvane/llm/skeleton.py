@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import cut_lineage
+
 # Letters of other scripts that are drawn like Latin ones, and the Latin letter of each.
 LOOK_ALIKES = (
     ("АВЕЅІЈКМНОРСТУХԌԚԜ", "ABESIJKMHOPCTYXGQW"),  # Cyrillic capitals
@@ -105,7 +107,8 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by skeleton; only groups that hold at least two different texts are paired, and within them only documents of different
     texts: copies are never paired with one another. The pairs asked for are the size of the result and nothing else is made.
     """
-    forms = add_forms(df, id_col, text_col).where(F.col("look").isNotNull() & F.col("id").isNotNull())
+    # Written once: three joins read the digests, the texts are read and decomposed one time.
+    forms = cut_lineage(add_forms(df, id_col, text_col).where(F.col("look").isNotNull() & F.col("id").isNotNull()))
     classes = forms.groupBy("look", "same").agg(F.count("*").alias("n"))
     mixed = classes.groupBy("look").agg(F.count("*").alias("n_forms")).where(F.col("n_forms") > 1).select("look")
     # AQE sees how few groups are mixed and broadcasts them if they are small.
