@@ -94,14 +94,17 @@ def _settle(rows: DataFrame, seed: int, fan_in: int) -> DataFrame:
             left[open_], settled[open_] = fraction[open_], False
         return rows.assign(base=rows["base"] + np.array(whole), fraction=left, settled=settled)
 
-    step = cut_lineage(rows.groupBy("source", "_node").applyInPandas(lambda g: rounded(g, 0), schema))
+    def at(level: int):
+        return lambda node: rounded(node, level)
+
+    step = cut_lineage(rows.groupBy("source", "_node").applyInPandas(at(0), schema))
     settled, open_, level = step.where("settled"), step.where("NOT settled"), 0
     nodes = (open_.agg(F.max("_node")).first()[0] or 0) + 1
     while nodes > 1:
         # A node of the tree holds at most fan_in open rows of one source.
         level, nodes = level + 1, -(-nodes // fan_in)
         up = open_.drop("settled").withColumn("_node", F.floor(F.col("_node") / fan_in).cast("int"))
-        step = cut_lineage(up.groupBy("source", "_node").applyInPandas(lambda g, level=level: rounded(g, level), schema))
+        step = cut_lineage(up.groupBy("source", "_node").applyInPandas(at(level), schema))
         settled, open_ = settled.unionByName(step.where("settled")), step.where("NOT settled")
     # The root: one fraction per source at most, settled by its own draw.
     draw = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1_000_003)) / 1_000_003

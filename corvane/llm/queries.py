@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.llm.mixing import mix, mixture_report
-from corvane.llm.neighbours import neighbour_pairs, similar_neighbours
+from corvane.llm.neighbours import neighbour_pairs, search_neighbours, similar_neighbours
 from corvane.llm.packing import fill_containers
 from corvane.llm.pairs import find_defects
 from corvane.llm.personal import sanitise
@@ -99,6 +99,18 @@ SELECT DISTINCT tbl, least(id, other) AS id_a, greatest(id, other) AS id_b FROM
 """
 
 
+@_query
+def p6_knn(spark, sf_dir):
+    """The 5 nearest records, whatever their distance, of every row whose id is divisible by 100."""
+    parts = []
+    for name, key in (("variants", "variation_id"), ("nephrogenetics", "id")):
+        rows = table(spark, sf_dir, name).select(F.col("id").alias("row_id"), F.col(key).cast("long").alias("record"), "embedding")
+        asked = rows.where(F.col("row_id") % 100 == 0).groupBy("row_id").agg(F.max("record").alias("own"), F.max("embedding").alias("qvec"))
+        near = search_neighbours(rows, "record", "embedding", asked.withColumnRenamed("row_id", "query_id"), "query_id", "qvec", own="own")
+        parts.append(near.select(F.lit(name).alias("tbl"), "query_id", F.col("record").alias("other"), F.round("cosine", 6).alias("cosine"), "place"))
+    return parts[0].unionByName(parts[1])
+
+
 @_query
 def p7_containers(spark, sf_dir):
     """Which document, or piece of one above 2,048 tokens, lies in which container."""
