@@ -5,6 +5,7 @@ Questions are a table of their own, so that one question is the one-row case of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.similarity import trigrams, weighted_blend
+from corvane.functions.similarity import weighted_blend
+from corvane.session import spread
 
 #: Questions whose vectors go to every task at once; more of them are taken in blocks of this size.
 QUERY_BLOCK = 4_096
@@ -112,22 +114,76 @@ def _blocks(wanted: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield pack()
 
 
-def trigram_scores(corpus: DataFrame, key: str, fields: list[str], queries: DataFrame, query: str, text: str) -> DataFrame:
+def trigram_set(text: str | None) -> set[str]:
+    """The trigrams that `corvane.functions.similarity.trigrams` gives, in Python."""
+    return {f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", (text or "").lower()) for i in range(len(w) + 1)}
+
+
+def trigram_scores(corpus: DataFrame, key: str, fields: list[str], queries: DataFrame, query: str, text: str, k: int | None = None, block: int = 512) -> DataFrame:
     """(query, key, lexical): the greatest trigram similarity of any field with the query, where they share a trigram.
 
-    An inverted index: the corpus's trigrams meet the queries' by an equi-join, and shared ones are counted, with partial
-    counts before the shuffle. What shares nothing is never made.
+    With `k`, only the best `k` per query and batch of records, ties by key: the overall best are among them. The stated set
+    of queries comes to the records as an inverted index, trigram to queries, `block` queries at a time. A record's own
+    trigrams are looked up and counted where it is read, so no pair is made before its similarity is known, and nothing is
+    shuffled but results. A null text has no trigrams.
     """
-    q = queries.select(query, trigrams(text).alias("t"))
-    grams = q.select(query, F.size("t").alias("nq"), F.explode("t").alias("gram"))
-    every = None
-    for i, f in enumerate(fields):
-        t = corpus.select(F.col(key), F.lit(i).alias("field"), trigrams(f).alias("t"))
-        part = t.select(key, "field", F.size("t").alias("nc"), F.explode("t").alias("gram"))
-        every = part if every is None else every.unionByName(part)
-    shared = every.join(grams, "gram").groupBy(query, key, "field", "nq", "nc").agg(F.count("*").alias("n"))
-    scored = shared.select(query, key, (F.col("n") / (F.col("nq") + F.col("nc") - F.col("n"))).alias("s"))
-    return scored.groupBy(query, key).agg(F.max("s").alias("lexical"))
+    spark = corpus.sparkSession
+    ktype, qtype = corpus.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
+    rows = spread(corpus.select(F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]))
+    schema = f"`{query}` {qtype}, `{key}` {ktype}, lexical double"
+    out = None
+    for ids, sizes, index in _indexes(queries.select(F.col(query).alias("q"), F.col(text).alias("t")).orderBy("q"), block):
+        shared = spark.sparkContext.broadcast((ids, sizes, index))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, sizes, index = shared.value
+            none = np.empty(0, np.int64)
+            for b in batches:
+                b = b.sort_values("key", kind="stable")
+                best = np.zeros((len(b), len(ids)))
+                for i in range(len(fields)):
+                    for r, value in enumerate(b[f"f{i}"]):
+                        grams = trigram_set(value if isinstance(value, str) else None)
+                        met = [index[g] for g in grams if g in index]
+                        if met:
+                            n = np.bincount(np.concatenate([none, *met]), minlength=len(ids))
+                            np.maximum(best[r], n / (sizes + len(grams) - n), out=best[r])
+                keys = b["key"].to_numpy()
+                if k is None:
+                    r, q = np.nonzero(best)
+                else:
+                    top = np.argsort(-best, axis=0, kind="stable")[:k]
+                    r, q = top.ravel(), np.tile(np.arange(len(ids)), len(top))
+                    r, q = r[best[r, q] > 0], q[best[r, q] > 0]
+                yield pd.DataFrame({query: ids[q], key: keys[r], "lexical": best[r, q]})
+
+        part = rows.mapInPandas(score, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    # A record of several rows counts once.
+    return out.groupBy(query, key).agg(F.max("lexical").alias("lexical"))
+
+
+def _indexes(wanted: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """(ids, numbers of trigrams, trigram to places) of the queries, fetched a block at a time."""
+    ids, sets = [], []
+
+    def pack() -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        index: dict[str, list[int]] = {}
+        for i, grams in enumerate(sets):
+            for g in grams:
+                index.setdefault(g, []).append(i)
+        return np.array(ids), np.array([len(x) for x in sets]), {g: np.array(v, dtype=np.int64) for g, v in index.items()}
+
+    for q, t in wanted.toLocalIterator():
+        ids.append(q)
+        sets.append(trigram_set(t))
+        if len(ids) == block:
+            yield pack()
+            ids, sets = [], []
+    if ids:
+        yield pack()
 
 
 def min_max(c: str, by: list[str]) -> Column:
@@ -157,7 +213,7 @@ def blend_pools(semantic: DataFrame, lexical: DataFrame, key: str, query: str, k
 def hybrid(corpus: DataFrame, key: str, vec: str, fields: list[str], queries: DataFrame, query: str = "query_id", text: str = "text", qvec: str = "qvec", k: int = 5, alpha: float = 0.3, pool: int = 50, floor: float = 0.45) -> DataFrame:
     """Lexical and vector retrieval in one: two pools of `pool` candidates per query, merged, floored, scaled and blended."""
     semantic = vector_top_k(corpus, key, vec, queries, query, qvec, pool)
-    lexical = top_k(trigram_scores(corpus, key, fields, queries, query, text), pool, [query], [F.col("lexical").desc(), F.col(key)])
+    lexical = top_k(trigram_scores(corpus, key, fields, queries, query, text, k=pool), pool, [query], [F.col("lexical").desc(), F.col(key)])
     return blend_pools(semantic, lexical, key, query, k, alpha, floor)
 
 

@@ -153,7 +153,7 @@ def q_trigram_topk(spark, sf_dir):
     SELECT doc_id, round({similarity_sql('a', 'b')}, 6) AS similarity FROM t WHERE {similarity_sql('a', 'b')} > 0""",
 )
 def q_trigram_docs(spark, sf_dir):
-    """Whole texts against a fixed question, by the inverted index."""
+    """Whole texts against a fixed question."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     asked = spark.createDataFrame([(1, "early hearing loss in carriers")], "query_id int, text string")
     return R.trigram_scores(docs, "doc_id", ["text"], asked, "query_id", "text").select("doc_id", F.round("lexical", 6).alias("similarity"))

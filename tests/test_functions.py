@@ -19,6 +19,13 @@ def test_trigrams(spark):
     assert one(spark, similarity.trigram_similarity, "Ünïcode  x", "ünïcode x") == 1.0
 
 
+def test_trigram_sets_agree(spark):
+    from corvane.operators.retrieve import trigram_set
+
+    for t in ("two words", "NM_1.2(ABC):c.3A>G", "Ünïcode – naïve² x", "", "e\u0301a_b"):
+        assert set(one(spark, similarity.trigrams, t)) == trigram_set(t)
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0, 1.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(similarity.cosine_similarity("a", "b")).collect()]
