@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, spread
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def clean_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = No
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(keys, pa.binary()), _lists((grid / 1e6).astype(np.float32)) if len(grid) else pa.array([], pa.list_(pa.float32()))], ["id", "vkey", "v"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(clean, f"id {kind}, vkey binary, v array<float>")
+    return spread(df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))).mapInArrow(clean, f"id {kind}, vkey binary, v array<float>")
 
 
 def _within(c: float, bits: int = 128, deviations: float = 4.0) -> int:

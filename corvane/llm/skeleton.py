@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, spread
 
 # Letters of other scripts that are drawn like Latin ones, and the Latin letter of each.
 LOOK_ALIKES = (
@@ -97,7 +97,7 @@ def add_forms(df: DataFrame, id_col: str, text_col: str, with_form: bool = False
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, same binary, look binary" + (", form string" if with_form else "")
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(forms, schema)
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(forms, schema)
 
 
 def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

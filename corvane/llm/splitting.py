@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import spread
+
 _BREAK = r"\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]"
 #: Where a node of each level is opened, outermost first. The first four are natural boundaries.
 _LEVELS = (
@@ -143,4 +145,4 @@ def split_items(df: DataFrame, id_col: str, text_col: str, keep: list[str] = (),
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep))
     schema += ", n_chars int, cut_kind string, piece_no int, start int, core int, end int" + (", piece string" if with_text else "")
-    return df.select(id_col, *keep, F.col(text_col).alias("_text")).mapInPandas(cut, schema)
+    return spread(df.select(id_col, *keep, F.col(text_col).alias("_text"))).mapInPandas(cut, schema)

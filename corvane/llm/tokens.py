@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import spread
+
 #: Folder of vocabulary files; the environment variable overrides it.
 TOKENIZERS = os.environ.get("CORVANE_TOKENIZERS", "/opt/tokenizers")
 DEFAULT_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -49,4 +51,4 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, keep: list[str] = (),
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", n_tokens long"
-    return df.select(id_col, *keep, F.col(text_col).alias("_text")).mapInPandas(sizes, schema)
+    return spread(df.select(id_col, *keep, F.col(text_col).alias("_text"))).mapInPandas(sizes, schema)
