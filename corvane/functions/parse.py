@@ -75,7 +75,8 @@ def _col(c: Column | str) -> Column:
 
 def _first(c: Column | str, pattern: str) -> Column:
     """The first match's first group, null if there is none."""
-    return F.nullif(F.regexp_extract(_col(c), pattern, 1), F.lit(""))
+    found = F.regexp_extract(_col(c), pattern, 1)
+    return F.when(found != "", found)
 
 
 def contains_any(c: Column | str, terms: Sequence[str]) -> Column:

@@ -18,6 +18,43 @@ from corvane.session import spread
 
 #: Questions whose vectors go to every task at once; more of them are taken in blocks of this size.
 QUERY_BLOCK = 4_096
+#: Records that meet a block of questions in one product.
+SLICE = 1_024
+
+
+class RunningTop:
+    """The first `k` keys per query by score, ties by key, over matrices of scores that come one after the other.
+
+    What does not reach a query's worst kept score is dropped at once, so after a few matrices little is left to sort.
+    """
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.q, self.s, self.keys = np.empty(0, np.int64), np.empty(0), None
+
+    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
+        """`scores` is queries x keys; a score that is not finite is none. A key must come once only."""
+        floor = self.floor
+        if scores.shape[1] > self.k and not np.isfinite(floor).all():
+            floor = np.maximum(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        q, c = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+        if not len(q):
+            return
+        new = keys[c]
+        self.q, self.s = np.concatenate([self.q, q]), np.concatenate([self.s, scores[q, c]])
+        self.keys = new if self.keys is None else np.concatenate([self.keys, new])
+        order = np.lexsort((self.keys, -self.s, self.q))
+        sorted_q = self.q[order]
+        start = np.r_[0, np.flatnonzero(np.diff(sorted_q)) + 1]
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+        order = order[rank < self.k]
+        self.q, self.s, self.keys = self.q[order], self.s[order], self.keys[order]
+        worst = rank[rank < self.k] == self.k - 1
+        self.floor[self.q[worst]] = self.s[worst]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, key, score) of what is kept."""
+        return self.q, self.keys if self.keys is not None else np.empty(0, np.int64), self.s
 
 
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFrame:
@@ -51,12 +88,12 @@ def ranked_by_key(df: DataFrame, queries: DataFrame, on: str, rank: Column, key:
     return top_k(hits, k, [query], [F.col("rank"), F.col(key)])
 
 
-def vector_top_k(corpus: DataFrame, key: str, vec: str, queries: DataFrame, query: str, qvec: str, k: int, threshold: float | None = None, same: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_top_k(corpus: DataFrame, key: str, vec: str, queries: DataFrame, query: str, qvec: str, k: int, threshold: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, key, similarity): per query the `k` records of greatest cosine, over `threshold` if given; ties by key.
 
     Vectors that are null, of another dimension or of length zero take no part. Exact: every record meets every query, as a
-    product of matrices, a batch of records at a time; each batch keeps only its own first `k` per query before anything is
-    shuffled. Queries are a stated set; they are sent to the tasks in blocks of `block`, whatever their number.
+    product of matrices, a slice of records at a time; each task keeps only its own first `k` per query before anything is
+    shuffled. Keys must be distinct. Queries are a stated set; they are sent to the tasks in blocks of `block`, whatever their number.
     """
     spark = corpus.sparkSession
     ktype, qtype = corpus.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
@@ -70,23 +107,21 @@ def vector_top_k(corpus: DataFrame, key: str, vec: str, queries: DataFrame, quer
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
+            best = RunningTop(len(ids), k)
             for b in batches:
-                ok = np.array([v is not None and len(v) == q.shape[1] for v in b["v"]], bool)
-                if not ok.any():
-                    continue
-                keys = b["key"].to_numpy()[ok]
-                order = np.argsort(keys, kind="stable")
-                keys = keys[order]
-                x = np.stack(b["v"].to_numpy()[ok])[order].astype(np.float64)
-                with np.errstate(all="ignore"):
-                    sim = (q @ x.T) / np.linalg.norm(x, axis=1)
-                sim = np.where(np.isfinite(sim), sim, -np.inf)
-                if threshold is not None:
-                    sim = np.where(sim > threshold, sim, -np.inf)
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(sim, best, 1)
-                at, col = np.nonzero(np.isfinite(got))
-                yield pd.DataFrame({query: ids[at], key: keys[best[at, col]], "similarity": got[at, col]})
+                for start in range(0, len(b), SLICE):
+                    part = b.iloc[start : start + SLICE]
+                    ok = np.array([v is not None and len(v) == q.shape[1] for v in part["v"]], bool)
+                    if not ok.any():
+                        continue
+                    x = np.stack(part["v"].to_numpy()[ok]).astype(np.float64)
+                    with np.errstate(all="ignore"):
+                        sim = (q @ x.T) / np.linalg.norm(x, axis=1)
+                    if threshold is not None:
+                        sim[~(sim > threshold)] = -np.inf
+                    best.add(np.where(np.isnan(sim), -np.inf, sim), part["key"].to_numpy()[ok])
+            at, keys, sims = best.result()
+            yield pd.DataFrame({query: ids[at], key: keys, "similarity": sims})
 
         part = rows.mapInPandas(score, schema)
         out = part if out is None else out.unionByName(part)
@@ -122,7 +157,7 @@ def trigram_set(text: str | None) -> set[str]:
 def trigram_scores(corpus: DataFrame, key: str, fields: list[str], queries: DataFrame, query: str, text: str, k: int | None = None, block: int = 512) -> DataFrame:
     """(query, key, lexical): the greatest trigram similarity of any field with the query, where they share a trigram.
 
-    With `k`, only the best `k` per query and batch of records, ties by key: the overall best are among them. The stated set
+    With `k`, only the best `k` per query and task, ties by key: the overall best are among them, if keys are distinct. The stated set
     of queries comes to the records as an inverted index, trigram to queries, `block` queries at a time. A record's own
     trigrams are looked up and counted where it is read, so no pair is made before its similarity is known, and nothing is
     shuffled but results. A null text has no trigrams.
@@ -138,24 +173,27 @@ def trigram_scores(corpus: DataFrame, key: str, fields: list[str], queries: Data
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, sizes, index = shared.value
             none = np.empty(0, np.int64)
+            top = RunningTop(len(ids), k) if k is not None else None
             for b in batches:
-                b = b.sort_values("key", kind="stable")
-                best = np.zeros((len(b), len(ids)))
-                for i in range(len(fields)):
-                    for r, value in enumerate(b[f"f{i}"]):
-                        grams = trigram_set(value if isinstance(value, str) else None)
-                        met = [index[g] for g in grams if g in index]
-                        if met:
-                            n = np.bincount(np.concatenate([none, *met]), minlength=len(ids))
-                            np.maximum(best[r], n / (sizes + len(grams) - n), out=best[r])
-                keys = b["key"].to_numpy()
-                if k is None:
-                    r, q = np.nonzero(best)
-                else:
-                    top = np.argsort(-best, axis=0, kind="stable")[:k]
-                    r, q = top.ravel(), np.tile(np.arange(len(ids)), len(top))
-                    r, q = r[best[r, q] > 0], q[best[r, q] > 0]
-                yield pd.DataFrame({query: ids[q], key: keys[r], "lexical": best[r, q]})
+                for start in range(0, len(b), SLICE):
+                    part = b.iloc[start : start + SLICE]
+                    best = np.zeros((len(part), len(ids)))
+                    for i in range(len(fields)):
+                        for r, value in enumerate(part[f"f{i}"]):
+                            grams = trigram_set(value if isinstance(value, str) else None)
+                            met = [index[g] for g in grams if g in index]
+                            if met:
+                                n = np.bincount(np.concatenate([none, *met]), minlength=len(ids))
+                                np.maximum(best[r], n / (sizes + len(grams) - n), out=best[r])
+                    keys = part["key"].to_numpy()
+                    if top is not None:
+                        top.add(np.where(best > 0, best, -np.inf).T, keys)
+                    else:
+                        r, q = np.nonzero(best)
+                        yield pd.DataFrame({query: ids[q], key: keys[r], "lexical": best[r, q]})
+            if top is not None:
+                q, keys, scores = top.result()
+                yield pd.DataFrame({query: ids[q], key: keys, "lexical": scores})
 
         part = rows.mapInPandas(score, schema)
         out = part if out is None else out.unionByName(part)

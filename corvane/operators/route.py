@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.parse import hgvs_forms
+from corvane.session import cut_lineage
 
 
 def exact_hits(questions: DataFrame, records: DataFrame, name: str = "name", gene: str = "gene", key: str = "variation_id") -> DataFrame:
@@ -20,9 +21,10 @@ def exact_hits(questions: DataFrame, records: DataFrame, name: str = "name", gen
     """
     t = F.col("tok")
     asked = questions.where(t["has_variant_token"]).select("text", t["gene"].alias("_g"), t["c_hgvs"].alias("_c"), t["p_hgvs"].alias("_p"), t["rsid"].alias("_rs"))
-    asked = asked.withColumn("_forms", hgvs_forms("_c"))
+    # A token has one or two forms. They are plain columns: a lambda over both sides of a join would not be bound rightly.
+    asked = asked.withColumn("_forms", hgvs_forms("_c")).withColumns({"_f0": F.lower(F.get("_forms", F.lit(0))), "_f1": F.lower(F.get("_forms", F.lit(1)))})
     low = F.lower(F.col(name))
-    with_c = F.col("_c").isNull() | F.exists("_forms", lambda f: low.contains(F.lower(f)))
+    with_c = F.col("_c").isNull() | low.contains(F.col("_f0")) | F.coalesce(low.contains(F.col("_f1")), F.lit(False))
     with_p = F.col("_p").isNull() | low.contains(F.lower("_p"))
     with_rs = F.col("_rs").isNull() | low.contains(F.col("_rs"))
     by_gene = asked.where(F.col("_g").isNotNull()).join(records.select(key, name, F.col(gene).alias("_g")), "_g").where(with_c & with_p & with_rs)
@@ -57,8 +59,9 @@ def route(questions: DataFrame, records: DataFrame, k: int = 5, text: str = "tex
     from corvane.functions.parse import review_rank
     from corvane.operators.retrieve import hybrid, ranked_by_key, top_k
 
-    exact = exact_hits(questions, records, key=key)
-    sorted_out = tiers(questions, exact)
+    # Written once: the tiers, their records and the search for the rest all depend on these.
+    exact = cut_lineage(exact_hits(questions, records, key=key))
+    sorted_out = cut_lineage(tiers(questions, exact))
     of = lambda name: sorted_out.where(F.col("tier") == name)
     first = top_k(exact, k, [text], [F.col(key)]).select(text, key, F.lit("exact").alias("tier"), "place")
     genes = of("gene").select(text, F.get("genes", F.lit(0)).alias("gene"))
