@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.retrieve import SLICE, RunningTop
 from corvane.session import cut_lineage, spread
 
 
@@ -320,17 +321,19 @@ def neighbour_pairs(near: DataFrame, id_col: str) -> DataFrame:
 SEARCH = Hashing(tables=8, hashes=8, width=1.5, probes=150)
 
 
-def search_neighbours(rows: DataFrame, key: str, vec: str, queries: DataFrame, query: str, qvec: str, k: int = 5, h: Hashing = SEARCH, own: str | None = None, block: int = 512) -> DataFrame:
+def search_neighbours(rows: DataFrame, key: str, vec: str, queries: DataFrame, query: str, qvec: str, k: int = 5, h: Hashing = SEARCH, own: str | None = None, block: int = 2_048) -> DataFrame:
     """(query, key, cosine, place): for every query the `k` records of greatest cosine among those its probes visit.
 
     Every record is indexed, by its own bucket in each table; a query visits its own and the perturbed buckets in estimated
-    success order, and what it meets is ranked by exact cosine. Records are hashed where they are read and never shuffled: a
-    stated set of queries comes to them, `block` at a time, and each batch of records keeps only its first `k` per query.
+    success order, and what it meets is ranked by exact cosine. Records are hashed where they lie: the stated set of queries
+    comes to them, `block` at a time, and each task keeps only its first `k` per query.
     A record of several rows counts once; with `own`, a column of `queries` with the query's own key, that record is left
     out. Vectors that `clean_vectors` leaves out take no part. Ties go to the lesser key.
     """
     ktype, qtype = rows.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
-    clean = clean_vectors(rows, key, vec).select("id", "v")
+    one = clean_vectors(rows, key, vec).groupBy("id").agg(F.max(F.struct("vkey", "v")).alias("_x"))
+    # Written once: every block of queries reads the records again.
+    clean = cut_lineage(one.select("id", F.col("_x.v").alias("v")))
     wanted = queries.select(F.col(query).alias("q"), (F.col(own) if own else F.lit(None).cast(ktype)).alias("own"), F.col(qvec).cast("array<double>").alias("v"))
     wanted = wanted.where(F.col("q").isNotNull() & F.col("v").isNotNull()).orderBy("q")
     schema = f"q {qtype}, id {ktype}, cosine double"
@@ -346,37 +349,34 @@ def search_neighbours(rows: DataFrame, key: str, vec: str, queries: DataFrame, q
 
         def visit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qs, owns, x, tables = shared.value
+            best = RunningTop(len(qs), k)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                ids, first = np.unique(ids, return_index=True)
-                v = _matrix(b.column(1))[first]
-                if v.shape[1] != x.shape[1]:
-                    continue
-                met = np.zeros((len(qs), len(v)), bool)
-                for t, at in enumerate(bucket_keys(v, h, 0)[:, :, 0].T):
-                    sorted_keys, who = tables[t]
-                    low, high = np.searchsorted(sorted_keys, at, "left"), np.searchsorted(sorted_keys, at, "right")
-                    n = high - low
-                    row = np.repeat(np.arange(len(v)), n)
-                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                    met[who[place], row] = True
-                if own:
-                    met &= owns[:, None] != ids[None, :]
-                cos = np.where(met, x @ (v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)).T, -np.inf)
-                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(cos, best, 1)
-                q, c = np.nonzero(np.isfinite(got))
-                yield pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(ids[best[q, c]]), pa.array(got[q, c])], ["q", "id", "cosine"])
+                for start in range(0, b.num_rows, SLICE):
+                    part = b.slice(start, SLICE)
+                    ids, v = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1))
+                    if v.shape[1] != x.shape[1]:
+                        continue
+                    met = np.zeros((len(qs), len(v)), bool)
+                    for t, at in enumerate(bucket_keys(v, h, 0)[:, :, 0].T):
+                        sorted_keys, who = tables[t]
+                        low, high = np.searchsorted(sorted_keys, at, "left"), np.searchsorted(sorted_keys, at, "right")
+                        n = high - low
+                        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                        met[who[place], np.repeat(np.arange(len(v)), n)] = True
+                    if own:
+                        met &= owns[:, None] != ids[None, :]
+                    v = v.astype(np.float64)
+                    best.add(np.where(met, x @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, -np.inf), ids)
+            q, ids, cos = best.result()
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(ids), pa.array(cos)], ["q", "id", "cosine"])
 
         part = clean.mapInArrow(visit, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.sparkSession.createDataFrame([], schema)
-    once = out.groupBy("q", "id").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("q").orderBy(F.col("cosine").desc(), "id")
-    best = once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    best = out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     return best.select(F.col("q").alias(query), F.col("id").alias(key), "cosine", "place")
 
 
