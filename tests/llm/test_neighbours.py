@@ -43,6 +43,22 @@ def test_a_third_of_all_rows_are_copies(spark):
     assert near.groupBy("id").count().where("count > 5").count() == 0
 
 
+def test_recall_near_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    n, dim, cosines = 1000, 64, (0.9501, 0.955, 0.96, 0.965)
+    c = np.repeat(cosines, n)[:, None]
+    x = rng.standard_normal((len(c), dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(f) for f in r], "", "") for i, r in enumerate(np.concatenate([x, y]))], SCHEMA)
+    pairs = {(a, b) for a, b in rows(neighbour_pairs(similar_neighbours(df, "id", "embedding", min_cosine=0.95), "id"))}
+    for j, cosine in enumerate(cosines):
+        found = sum((i, i + len(c)) in pairs for i in range(j * n, (j + 1) * n))
+        assert found / n >= 0.99, cosine
+
+
 def test_edges(spark):
     data = [(1, [1.0, 0.0], "", ""), (1, [1.0, 0.0], "", ""), (2, [2.0, 0.0], "", ""), (3, None, "", ""), (4, [0.0, 0.0], "", ""), (5, [float("nan"), 1.0], "", ""), (6, [], "", ""), (None, [1.0, 0.0], "", ""), (7, [None, 1.0], "", ""), (8, [1e-30, 0.0], "", "")]
     df = spark.createDataFrame(data, SCHEMA)
