@@ -226,13 +226,19 @@ def q_filtered_semantic(spark, sf_dir):
 _TYPE_SQL_TERMS = " OR ".join(f"contains(lower(text), '{t}')" for t in (*parse.CLINICAL_TERMS, *parse.RENAL_TERMS))
 
 
-def asked_questions(spark, sf_dir):
-    """Every distinct English question of the log, with what is parsed from it."""
-    logs = table(spark, sf_dir, "audit_logs").select(F.col("query_text").alias("text")).where(F.col("text").rlike(r"^[\x00-\x7f]*$")).distinct()
+def every_question(spark, sf_dir, ascii_only=False):
+    """Every distinct question of the log, with what is parsed from it."""
+    logs = table(spark, sf_dir, "audit_logs").select(F.col("query_text").alias("text")).where("text IS NOT NULL")
+    logs = (logs.where(F.col("text").rlike(r"^[\x00-\x7f]*$")) if ascii_only else logs).distinct()
     parsed = logs.withColumn("genes", parse.gene_symbols("text")).withColumn("tok", parse.variant_tokens("text"))
     return parsed.withColumn("query_type", parse.query_type("text"))
 
 
+def asked_questions(spark, sf_dir):
+    """The questions of ASCII characters only: DuckDB's word boundaries agree on no others."""
+    return every_question(spark, sf_dir, ascii_only=True)
+
+
 _GENES_SQL = (
     "list_filter(list_distinct(list_concat(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{1,9})\\b', 1), list_transform(regexp_extract_all(text, "
     "'(?i)\\b(?:(?:gene|variant|mutation|allele)s?\\s+(?:in\\s+|of\\s+)?[A-Za-z][A-Za-z0-9]{1,9}|[A-Za-z][A-Za-z0-9]{1,9}\\s+gene)\\b'), lambda m: upper("
@@ -260,6 +266,18 @@ def q_classify(spark, sf_dir):
     return asked_questions(spark, sf_dir).groupBy("query_type").agg(F.count("*").alias("n"))
 
 
+@registry.query("q_gene_symbols_all")
+def q_gene_symbols_all(spark, sf_dir):
+    """As q_gene_symbols, for every distinct question of any script."""
+    return every_question(spark, sf_dir).select("text", F.array_join(F.sort_array("genes"), ",").alias("genes"))
+
+
+@registry.query("q_classify_all")
+def q_classify_all(spark, sf_dir):
+    """As q_classify, over every distinct question of any script."""
+    return every_question(spark, sf_dir).groupBy("query_type").agg(F.count("*").alias("n"))
+
+
 @registry.query(
     "q_route_tiers",
     sql=f"""WITH cur AS ({CURRENT}),
