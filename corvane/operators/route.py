@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from corvane.functions.parse import hgvs_forms
 from corvane.session import cut_lineage
 
+# How tokens of the three kinds start, in lower case.
+_STARTS = (r"c\.[0-9]+", r"p\.[a-z]{1,3}[0-9]+", "rs[0-9]+")
+
 
 def exact_hits(questions: DataFrame, records: DataFrame, name: str = "name", gene: str = "gene", key: str = "variation_id") -> DataFrame:
     """(text, key) of records that hold every token of the question, of its gene if it names one.
 
-    Questions with a gene meet the records of that gene only, by an equi-join. Those without one are matched on the tokens that
-    records' names hold, extracted once from either side, by an equi-join as well.
+    They meet by an equi-join on the start of the question's first token, up to its number, and on the gene if there is one;
+    the test of all tokens decides.
     """
     t = F.col("tok")
     asked = questions.where(t["has_variant_token"]).select("text", t["gene"].alias("_g"), t["c_hgvs"].alias("_c"), t["p_hgvs"].alias("_p"), t["rsid"].alias("_rs"))
@@ -27,28 +30,36 @@ def exact_hits(questions: DataFrame, records: DataFrame, name: str = "name", gen
     with_c = F.col("_c").isNull() | low.contains(F.col("_f0")) | F.coalesce(low.contains(F.col("_f1")), F.lit(False))
     with_p = F.col("_p").isNull() | low.contains(F.lower("_p"))
     with_rs = F.col("_rs").isNull() | low.contains(F.col("_rs"))
-    by_gene = asked.where(F.col("_g").isNotNull()).join(records.select(key, name, F.col(gene).alias("_g")), "_g").where(with_c & with_p & with_rs)
-    # Without a gene: the first token of the question, as a whole token of the name.
-    from corvane.functions.parse import variant_tokens
+    # Where a name holds the token, it holds the token's letters and number, and maybe further digits.
+    starts = F.concat(*[F.regexp_extract_all(low, F.lit(x), F.lit(0)) for x in _STARTS])
+    named = records.select(key, name, F.col(gene).alias("_g"), F.explode(F.array_distinct(starts)).alias("_s"))
+    letters = F.length(F.regexp_extract("_s", "^(.*?)[0-9]+$", 1))
+    own = named.select(key, name, "_g", F.explode(F.transform(F.sequence(letters + 1, F.length("_s")), lambda n: F.substr("_s", F.lit(1), n))).alias("_k")).distinct()
+    asked = asked.withColumn("_k", F.regexp_extract(F.coalesce("_f0", F.lower("_p"), "_rs"), f"^({'|'.join(_STARTS)})", 1))
+    by_gene = asked.where(F.col("_g").isNotNull()).join(own, ["_g", "_k"])
+    free = asked.where(F.col("_g").isNull()).drop("_g").join(own.drop("_g"), "_k")
+    return by_gene.where(with_c & with_p & with_rs).select("text", key).unionByName(free.where(with_c & with_p & with_rs).select("text", key)).distinct()
 
-    named = records.select(key, name, variant_tokens(name).alias("_t"))
-    own = named.select(key, name, F.explode(F.array(F.lower(F.col("_t")["c_hgvs"]), F.lower(F.col("_t")["p_hgvs"]), F.col("_t")["rsid"])).alias("_k")).where("_k IS NOT NULL")
-    free = asked.where(F.col("_g").isNull()).withColumn("_k", F.explode(F.transform(F.coalesce("_forms", F.array(F.coalesce("_p", "_rs"))), lambda f: F.lower(f))))
-    by_token = free.join(own, "_k").where(with_c & with_p & with_rs)
-    return by_gene.select("text", key).unionByName(by_token.select("text", key)).distinct()
 
+def tiers(questions: DataFrame, exact: DataFrame, records: DataFrame | None = None, gene: str = "gene") -> DataFrame:
+    """(text, tier, n_exact): 'exact' if there are records, 'gene' for a gene without variant token, 'none' for neither, else 'hybrid'.
 
-def tiers(questions: DataFrame, exact: DataFrame) -> DataFrame:
-    """(text, tier, n_exact): 'exact' if there are records, 'gene' for a gene without variant token, 'none' for neither, else 'hybrid'."""
+    With `records`, a question whose first gene has none is left to 'hybrid', as the tier 'gene' would find nothing.
+    """
+    known = F.lit(True)
+    if records is not None:
+        there = records.select(F.col(gene).alias("_first")).distinct().withColumn("_known", F.lit(True))
+        questions = questions.withColumn("_first", F.get("genes", F.lit(0))).join(there, "_first", "left").drop("_first")
+        known = F.coalesce("_known", F.lit(False))
     found = exact.groupBy("text").agg(F.count("*").alias("n_exact"))
     token = F.coalesce(F.col("tok")["has_variant_token"], F.lit(False))
     tier = (
         F.when(F.col("n_exact") > 0, "exact")
-        .when(~token & (F.size("genes") > 0), "gene")
+        .when(~token & (F.size("genes") > 0) & known, "gene")
         .when(token | (F.size("genes") > 0), "hybrid")
         .otherwise("none")
     )
-    return questions.join(found, "text", "left").withColumn("n_exact", F.coalesce("n_exact", F.lit(0))).withColumn("tier", tier)
+    return questions.join(found, "text", "left").withColumn("n_exact", F.coalesce("n_exact", F.lit(0))).withColumn("tier", tier).drop("_known")
 
 
 def route(questions: DataFrame, records: DataFrame, k: int = 5, text: str = "text", qvec: str = "qvec", key: str = "variation_id") -> DataFrame:
@@ -61,7 +72,7 @@ def route(questions: DataFrame, records: DataFrame, k: int = 5, text: str = "tex
 
     # Written once: the tiers, their records and the search for the rest all depend on these.
     exact = cut_lineage(exact_hits(questions, records, key=key))
-    sorted_out = cut_lineage(tiers(questions, exact))
+    sorted_out = cut_lineage(tiers(questions, exact, records))
     of = lambda name: sorted_out.where(F.col("tier") == name)
     first = top_k(exact, k, [text], [F.col(key)]).select(text, key, F.lit("exact").alias("tier"), "place")
     genes = of("gene").select(text, F.get("genes", F.lit(0)).alias("gene"))

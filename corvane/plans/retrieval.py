@@ -300,3 +300,12 @@ def q_route_tiers(spark, sf_dir):
     asked = asked_questions(spark, sf_dir).where(F.col("text").rlike(r"^Is [^ ]+ in [^ ]+ pathogenic\?$"))
     cur = current_variants(spark, sf_dir)
     return tiers(asked, exact_hits(asked, cur)).select("text", "tier", "n_exact")
+
+
+@registry.query("q_route_all")
+def q_route_all(spark, sf_dir):
+    """Which tier answers each distinct question of the log, whatever its form and script."""
+    from corvane.operators.route import exact_hits, tiers
+
+    asked, cur = every_question(spark, sf_dir), current_variants(spark, sf_dir)
+    return tiers(asked, exact_hits(asked, cur), cur).select("text", "tier", "n_exact")

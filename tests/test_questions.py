@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 
 from corvane.functions import parse
+from corvane.operators.route import exact_hits, route, tiers
 from corvane.plans import retrieval as Q
 
 ASKED = [
@@ -53,3 +54,31 @@ def test_gene_symbols_of_any_script(spark, logs):
 def test_classes_of_any_script(spark, logs):
     assert dict(rows(Q.q_classify_all(spark, logs))) == Counter(map(kind, ASKED))
     assert [r[0] for r in rows(Q.every_question(spark, logs).select("text"))] == sorted(ASKED)
+
+
+NAMES = [("GENE0", "NM_1.1(GENE0):c.52A>G (p.Arg18Gly)"), ("GENE0", "NM_1.1(GENE0):c.523A>G (p.Arg175Gly)"), ("GENE1", "c.52del and c.77dup"), ("GENE1", "c.1A>G, then c.52A>T rs789"), ("GENE2", "rs7891 c.9_11delCTT"), ("GENE2", None)]
+ROUTED = ["what of c.52?", "what of c.52A>G – p.Arg18Gly?", "rs789?", "what of p.Arg17?", "what of c.77dup", "is c.9_11delCTT known?", "c.52A>G in GENE0, said the doctor", "GENE1", "GENE9", "c.4T>A in GENE0", "Grüße", "GENE9 or GENE1"]
+
+
+def brute(text):
+    """(tier, records): every name against every token of the question."""
+    found = genes(text)
+    tokens = [re.search(x, text) for x in (r"c\.[0-9][0-9_]*(?:[ACGT]>[ACGT]|del[ACGT]*|dup[ACGT]*)?", r"p\.[A-Z][a-z]{2}[0-9]+(?:[A-Z][a-z]{2})?", r"rs[0-9]+")]
+    tokens = [m.group().lower() for m in tokens if m]
+    held = [i for i, (g, n) in enumerate(NAMES) if tokens and n and (not found or g == found[0]) and all(t in n.lower() or re.sub("(del|dup)[acgt]+$", r"\1", t) in n.lower() for t in tokens)]
+    known = found and text.split()[0] in {g for g, _ in NAMES}
+    return "exact" if held else "gene" if known and not tokens else "hybrid" if tokens or found else "none", held
+
+
+def test_route_of_any_question(spark):
+    records = spark.createDataFrame([(i, g, n, n, "", [1.0, float(i)]) for i, (g, n) in enumerate(NAMES)], "variation_id int, gene string, name string, document string, review_status string, embedding array<float>")
+    asked = spark.createDataFrame([(x, [1.0, 0.5]) for x in ROUTED], "text string, qvec array<float>").withColumn("genes", parse.gene_symbols("text")).withColumn("tok", parse.variant_tokens("text"))
+    hits = exact_hits(asked, records)
+    assert rows(hits.select("text", "variation_id")) == sorted((x, i) for x in ROUTED for i in brute(x)[1])
+    want = {x: brute(x)[0] for x in ROUTED}
+    assert set(want.values()) == {"exact", "gene", "hybrid", "none"} and want["GENE9"] == "hybrid"
+    assert dict(rows(tiers(asked, hits, records).select("text", "tier"))) == want
+    out = route(asked, records, k=9)
+    assert {r["text"]: r["tier"] for r in out.select("text", "tier").distinct().collect()}.items() <= want.items()
+    got = rows(out.where("tier <> 'hybrid'").select("text", "variation_id"))
+    assert got == sorted((x, i) for x in ROUTED for i in (brute(x)[1] if want[x] == "exact" else [j for j, n in enumerate(NAMES) if n[0] == x] if want[x] == "gene" else []))
