@@ -112,9 +112,12 @@ def _settle(rows: DataFrame, seed: int, fan_in: int) -> DataFrame:
     return settled.unionByName(last).drop("settled")
 
 
-def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: str = "source", total: float | None = None, seed: int = 7, leaf_rows: int = 20_000, fan_in: int = 16, head: float = 0.03) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: str = "source", total: float | None = None, seed: int = 7, leaf_rows: int = 20_000, fan_in: int = 16) -> DataFrame:
     """(id, source, n_tokens, copies, target_share, source_share): every row of `sizes` with the copies it was given.
 
+    Over the draws of `seed` every row's copies have the expectation of its source, exactly. A source's total misses its target by
+    no more than its last open document, which is one of the shortest unless a single one outweighs all others.
+
     A row has floor or ceiling of its source's expected copies, never more than max_repeats; 0 is "not chosen" and stays in the
     result. source_share is what the source reached of the mixture's tokens. Rows whose source is null or has no target get
     0. Rows that repeat an id are rows of their own. Null sizes count as 0. An empty table gives an empty result.
@@ -131,21 +134,11 @@ def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: st
         (copies - F.floor(copies)).alias("fraction"),
         F.pmod(F.xxhash64("_row", F.lit(seed)), leaves).cast("int").alias("_node"),
         F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
-        copies.alias("_copies"),
-        (F.col("n_tokens") > head * copies * F.col("size")).alias("_head"),
     )
-    start = shape.drop("_head")
+    # All sizes go through the same tree. A trade keeps both expectations whatever the sizes, so a document that is most of
+    # its source is as likely to be chosen as a short one; it is open until the shorter ones have taken up its mass.
     open_rows = F.col("fraction") > _EPS
-    # A document that is a good part of its source's target by itself is settled first; what it came out above or below its
-    # expectation is then taken from, or given to, all the shorter ones, which keeps the source's total and every expectation.
-    heads = _settle(shape.where(open_rows & F.col("_head")).drop("_head"), seed, fan_in)
-    gone = heads.groupBy("source").agg(F.sum((F.col("base") - F.col("_copies")) * F.col("n_tokens")).alias("_gone"))
-    tail = shape.where(open_rows & ~F.coalesce("_head", F.lit(False))).drop("_head")
-    room = tail.groupBy("source").agg(F.sum("n_tokens").alias("_room"))
-    shift = broadcast_if_small(room.join(gone, "source").select("source", (F.col("_gone") / F.nullif(F.col("_room"), F.lit(0))).alias("_shift")))
-    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction") - F.coalesce("_shift", F.lit(0.0))))
-    tail = tail.join(shift, "source", "left").withColumn("fraction", moved).drop("_shift")
-    whole = start.where(~open_rows).unionByName(heads).unionByName(_settle(tail.select(start.columns), seed + 1, fan_in))
+    whole = shape.where(~open_rows).unionByName(_settle(shape.where(open_rows), seed, fan_in))
     whole = cut_lineage(whole)
     reached = whole.groupBy("source").agg(F.sum(F.col("base") * F.col("n_tokens")).alias("_t"))
     reached = reached.withColumn("source_share", F.coalesce(F.col("_t") / F.nullif(F.sum("_t").over(Window.partitionBy(F.lit(0))), F.lit(0)), F.lit(0.0)))

@@ -9,6 +9,7 @@ ends in containers that are not full enough is packed again, regrouped with the
 from __future__ import annotations
 
 import bisect
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -24,16 +25,23 @@ class Capacity:
 
     tokens: int = 2048
     items: int = 256
-    #: Sum of squared item lengths; the default binds no item that fits by tokens.
+    #: Sum of squared item lengths. The default is what one item of full length costs.
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.02, 0.05)
+    weights: tuple[float, float, float] = (1.0, 0.05, 0.25)
+
+    @property
+    def longest(self) -> int:
+        """The longest item that fits an empty container in every dimension."""
+        return min(self.tokens, math.isqrt(self.attention))
 
 
 def best_fit(lengths: list[int], cap: Capacity) -> list[int]:
     """Container number of every item, items taken longest first; a zero-length item needs only an item slot.
 
-    Open containers are kept sorted by residual tokens, so the ones that an item fits into are a suffix. The token part of the
-    norm grows along it; the search stops when that part alone exceeds the best whole norm, so the choice is exact.
+    Of the containers that can take the item in every dimension it goes to the one with the least weighted norm of what is then
+    left in each; ties go to the fewer tokens left, then the lower number. Open containers are kept sorted by residual tokens,
+    so those with room for the item's tokens are a suffix. The token part of the norm grows along it; the search stops when
+    that part alone exceeds the best whole norm, so the choice is exact. A container that can take no item at all is closed.
     """
     wt, wi, wa = cap.weights
     open_: list[tuple[int, int]] = []  # (residual tokens, container), sorted
@@ -48,8 +56,9 @@ def best_fit(lengths: list[int], cap: Capacity) -> list[int]:
             t = wt * ((room - n) / cap.tokens) ** 2
             if t >= best_norm:
                 break
-            if items[c] < cap.items and cost[c] + n * n <= cap.attention:
-                norm = t + wi * (1 - (items[c] + 1) / cap.items) ** 2 + wa * (1 - (cost[c] + n * n) / cap.attention) ** 2
+            left = cap.attention - cost[c] - n * n
+            if left >= 0:
+                norm = t + wi * (1 - (items[c] + 1) / cap.items) ** 2 + wa * (left / cap.attention) ** 2
                 if norm < best_norm:
                     best, best_norm, best_at = c, norm, at
         if best < 0:
@@ -83,18 +92,19 @@ def fill_containers(
 ) -> DataFrame:
     """(id, piece_no, token_start, n_tokens, container_id): where every item, or piece of one over the capacity, lies.
 
-    Every row of `df` is placed, rows that repeat an id included; a row of size 0 takes an item slot and no tokens. Full
-    pieces of long items are containers of their own and are not grouped at all. The others are hashed into groups of about
+    Every row of `df` is placed, rows that repeat an id included; a row of size 0 takes an item slot and no tokens. An item that
+    exceeds an empty container in tokens or attention is cut, into pieces as long as fit. Pieces that fill a container alone
+    are not grouped at all. The others are hashed into groups of about
     `group_items`, so no task holds more than its group whatever the input; after each round containers filled to `full` or
     more stay, and the items of the others go into the next round, where groups are of the same size but fewer. The last
     round keeps everything. An empty table has no containers.
     """
-    if cap.tokens < 1 or cap.items < 1 or cap.attention < cap.tokens**2:
-        raise ValueError("a container must be able to hold one item as long as its capacity")
+    if cap.tokens < 1 or cap.items < 1 or cap.attention < 1:
+        raise ValueError("a container must be able to hold an item")
     kind = df.schema[id_col].dataType.simpleString()
     # Row numbers are written with the rows: they name containers and spread rows that repeat an id.
-    parts = cut_lineage(pieces(df, id_col, size_col, cap.tokens).withColumn("_row", F.monotonically_increasing_id()))
-    full_piece = F.col("n_tokens") == cap.tokens
+    parts = cut_lineage(pieces(df, id_col, size_col, cap.longest).withColumn("_row", F.monotonically_increasing_id()))
+    full_piece = (F.col("n_tokens") == cap.tokens) | (F.col("n_tokens") == cap.longest) & F.lit(cap.attention == cap.longest**2)
     whole = parts.where(full_piece).withColumn("container_id", F.concat_ws("-", F.lit("w"), "_row")).drop("_row")
     rest = parts.where(~full_piece)
     schema = f"id {kind}, piece_no long, token_start long, n_tokens long, _row long, container_id string, fill long"

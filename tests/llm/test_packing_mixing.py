@@ -35,13 +35,35 @@ def test_containers(spark):
     assert total / (2048 * per.where("t > 0").count()) > 0.97
     assert fill_containers(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        fill_containers(df, cap=Capacity(tokens=10, attention=5))
+        fill_containers(df, cap=Capacity(tokens=10, attention=0))
+    tight = Capacity(tokens=2048, items=256, attention=400 * 2048)
+    out = fill_containers(df, cap=tight, group_items=500)
+    assert out.agg(F.max("n_tokens")).first()[0] == tight.longest == 905 and out.agg(F.sum("n_tokens")).first()[0] == total
+    per = out.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("a"))
+    assert per.where(f"t > 2048 OR n > 256 OR a > {400 * 2048}").count() == 0
+
+
+def test_each_capacity_binds():
+    rng = random.Random(3)
+    n = [rng.randrange(1, 400) for _ in range(600)]
+    free = Capacity(tokens=10**6, items=10**6, attention=10**12)
+    tokens, items, attention = Capacity(2048, 10**6, 10**12), Capacity(10**6, 12, 10**12), Capacity(10**6, 10**6, 300_000)
+    packed = [best_fit(n, c) for c in (free, tokens, items, attention)]
+    assert max(packed[0]) == 0 and len({tuple(p) for p in packed}) == 4
+    # With tokens and items alike, the default attention capacity and a smaller one give other containers than an unlimited one.
+    by_attention = [best_fit(n, Capacity(2048, 256, a)) for a in (10**12, 2048 * 2048, 350_000)]
+    assert len({tuple(p) for p in by_attention}) == 3
+    for c in set(by_attention[2]):
+        assert sum(x * x for x, at in zip(n, by_attention[2]) if at == c) <= 350_000
 
 
 def test_tokens(spark):
     text = "Die Häufigkeit liegt unter 0,5 Prozent. 你好"
     assert count_tokens(text) == len(encoder(DEFAULT_VOCABULARY).encode_ordinary(text)) and count_tokens(None) == count_tokens("") == 0
-    assert count_tokens("word " * 60_000) >= 60_000
+    # Longer than one stretch: the same as in one go.
+    for long in ("word " * 60_000, "naïve\n\nwords, 12 of " * 20_000 + " " * 7_000 + "x", "a" * 150_000, " " * 6_000 + "é " * 90_000):
+        assert count_tokens(long) == len(encoder(DEFAULT_VOCABULARY).encode_ordinary(long))
+    assert count_tokens(" " * 1_500_000) > 0
     df = spark.createDataFrame([(1, "a b", "s"), (2, None, "s"), (3, "", None)], "doc_id long, text string, source string")
     assert rows(token_sizes(df, "doc_id", "text", keep=["source"]).select("doc_id", "n_tokens")) == [(1, 2), (2, 0), (3, 0)]
 
@@ -61,6 +83,23 @@ def test_pivot_keeps_mass_and_expectation():
     assert pivot([0.5, 0.5], [0, 0], [0.1, 0.9]) == ([1, 0], -1) and pivot([], [], []) == ([], -1)
 
 
+@pytest.mark.parametrize("giant, tail", [(900, [1] * 100), (300, [7] * 100), (5000, [3, 9, 27]), (31, [1000] * 31)])
+def test_expectation_holds_beside_a_giant(giant, tail):
+    """A document of any part of its source, below and above every earlier limit, keeps its own and the others' expectation."""
+    rng, trials = random.Random(5), 6_000
+    sizes = sorted([giant, *tail], reverse=True)
+    for p in (0.3, 0.1):
+        hits = [0] * len(sizes)
+        for _ in range(trials):
+            f = [p] * len(sizes)
+            out, open_ = pivot(f, sizes, [rng.random() for _ in sizes])
+            for i, o in enumerate(out):
+                hits[i] += o + (f[i] if i == open_ else 0)
+        at = sizes.index(giant)
+        assert abs(hits[at] / trials - p) < 0.02
+        assert abs((sum(hits) - hits[at]) / trials / len(tail) - p) < 0.01
+
+
 def test_mixture(spark):
     rng = random.Random(2)
     data = [(i, "big", rng.randrange(50, 150), "a", 1) for i in range(4000)] + [(5000 + i, "small", rng.randrange(50, 150), "a", 1) for i in range(40)]
