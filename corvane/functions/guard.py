@@ -9,15 +9,38 @@ from pyspark.sql import functions as F
 
 from corvane.functions.parse import contains_any
 
-#: Example lists, in the order in which they are tried; callers pass their own.
+# Phrases in questions that are turned away, in the order in which the lists are tried.
 QUERY_TERMS: Mapping[str, Sequence[str]] = {
-    "diagnosis": ("do i have", "does my patient have", "am i affected", "rule out", "diagnose me", "confirm the diagnosis"),
-    "pathogenicity": ("reclassify", "classify this", "in your opinion", "acmg criteria"),
-    "treatment": ("how to treat", "treatment for", "which drug", "dosage", "dose of", "treatment options"),
+    "diagnosis": (
+        "do i have", "does my patient have", "diagnose me", "diagnose my patient", "am i affected", "is my patient affected", "what disease do i have",
+        "what condition do i have", "confirm disease", "confirm condition", "rule out", "diagnose this", "diagnose the patient", "diagnose this patient",
+        "what does my patient have", "what's wrong with my patient", "whats wrong with my patient", "should i tell my patient", "should i tell them",
+        "tell my patient", "will my patient", "will they get", "will i get", "how long does he have", "how long does she have", "how long do i have",
+        "interpret it and tell me", "interpret my", "confirm the diagnosis", "confirm my suspicion",
+    ),
+    "pathogenicity": (
+        "classify this", "classify the variant", "reclassify", "in your opinion", "pathogenicity score", "apply the acmg", "acmg criteria", "predict whether",
+        "predict if", "what is the real answer", "give me a final",
+    ),
+    "treatment": (
+        "how to treat", "treatment for", "what medication", "which drug", "prescribe", "prescription", "therapy for", "cure for", "should i take", "dosage",
+        "dose of", "treatment options", "clinical management", "how to manage",
+    ),
 }
+# Patterns in answers that are held back, in lower case.
 RESPONSE_PATTERNS: Mapping[str, Sequence[str]] = {
-    "diagnosis": (r"\byou have\b", r"\byour patient has\b", r"\bthe diagnosis is\b"),
-    "treatment": (r"\byou should take\b", r"\bprescribe\b", r"\bthe treatment is\b"),
+    "diagnosis": (
+        r"\byou have\b(?! access| the option| provided)",
+        r"\byour patient has\b",
+        r"\bthis confirms\b.*\bdiagnosis\b",
+        r"\bi diagnose\b",
+        r"\bthe diagnosis is\b",
+        r"\bbased on (?:this|these) (?:variant|result)s?,? (?:you|the patient) (?:has|have)\b",
+        r"\b(?:this|the)\s+(?:\d+[\s-]?year[\s-]?old|patient|child|individual|case|boy|girl|man|woman)\b"
+        r".{0,120}?\b(?:is (?:consistent with|associated with|suggestive of|diagnostic of|indicative of)|most likely has|likely has|points to)\b",
+        r"\bin (?:a|this|the)\s+(?:\d+[\s-]?year[\s-]?old|patient|child|individual|case)\b.{0,120}?\bis associated with\b",
+    ),
+    "treatment": (r"you should take\b", r"i recommend\b.*\btreatment\b", r"prescribe\b", r"start\b.*\btherapy\b", r"the treatment is\b", r"take\b.*\bmedication\b"),
 }
 
 

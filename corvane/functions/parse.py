@@ -88,12 +88,14 @@ def contains_any(c: Column | str, terms: Sequence[str]) -> Column:
 
 
 def nucleotide_form(token: Column) -> Column:
-    """A nucleotide token without blanks, '&gt;' as '>', upper case but for its prefix and event words."""
+    """A nucleotide token as prefix, position, bases and event: the prefix and event words small, the bases large, no blanks."""
     t = F.regexp_replace(F.regexp_replace(token, "&gt;", ">"), r"\s+", "")
-    body = F.upper(t)
-    for word in ("DELINS", "DEL", "DUP", "INS"):
-        body = F.regexp_replace(body, word, word.lower())
-    return F.concat(F.lower(F.substring(t, 1, 1)), F.substring(body, 2, 1_000_000))
+    # Parts between event words are positions and bases; the words themselves are what lies between the parts.
+    event = "(?i)(delins|del|dup|ins)"
+    bases = F.transform(F.split(F.substring(t, 2, 1_000_000), event), F.upper)
+    events = F.transform(F.regexp_extract_all(t, F.lit(event), F.lit(1)), F.lower)
+    pairs = F.zip_with(bases, events, lambda x, e: F.concat(x, F.coalesce(e, F.lit(""))))
+    return F.concat(F.lower(F.substring(t, 1, 1)), F.array_join(pairs, ""))
 
 
 def protein_form(token: Column) -> Column:
@@ -153,10 +155,14 @@ def has_clinical_signal(text: Column | str, terms: Sequence[str] = tuple(CLINICA
     return text.rlike(rf"{_HEAD}[cpgmn]\.[0-9]") | (F.size(gene_symbols(text)) > 0) | contains_any(F.lower(text), terms) | has_renal_terms(text)
 
 
+# Fixed value: what makes a question one on a variant if it names no gene.
+VARIANT_NOTATION = rf"{_HEAD}[cpgmn]\.[0-9]"
+
+
 def query_type(text: Column | str) -> Column:
-    """'non-clinical', 'variant' (a gene or variant token) or 'phenotype'."""
+    """'non-clinical', 'variant' (a gene or a position in variant notation) or 'phenotype'."""
     text = _col(text)
-    specific = (F.size(gene_symbols(text)) > 0) | F.coalesce(variant_tokens(text)["has_variant_token"], F.lit(False))
+    specific = (F.size(gene_symbols(text)) > 0) | text.rlike(VARIANT_NOTATION)
     return F.when(~has_clinical_signal(text), "non-clinical").when(specific, "variant").otherwise("phenotype")
 
 

@@ -202,34 +202,50 @@ def q_snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.snippet("text").alias("snippet"))
 
 
-_ASKS = ["Do I have Fabry disease?", "rule out PKD", "please RECLASSIFY this", "which drug helps", "what does QPIB8 do", "  ", None]
+_ASKS = ["Do I have Fabry disease?", "rule out PKD", "please RECLASSIFY this", "which drug helps", "what does QPIB8 do", "Diagnose this 5-year-old", "should I tell them?", "give me a FINAL score", "clinical management of PKD", "  ", None]
 
 
 def _any_sql(c: str, terms) -> str:
     return "(" + " OR ".join(f"contains({c}, '{t}')" for t in terms) + ")"
 
 
-@registry.query(
-    "q_guard_query",
-    sql=f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(trim(q), '') = '' THEN 'blank' {' '.join(f"WHEN {_any_sql('lower(q)', v)} THEN '{k}'" for k, v in guard.QUERY_TERMS.items())} END AS reason
-    FROM (SELECT query_text AS q FROM audit_logs UNION ALL FROM {values_sql(_ASKS)} t(q))) GROUP BY 1""",
-)
+# The lists are written out here on their own, so that a wrong list in the library shows.
+_REASON_SQL = r"""CASE WHEN coalesce(trim(q), '') = '' THEN 'blank'
+ WHEN regexp_matches(lower(q), 'do i have|does my patient have|diagnose (me|my patient|this|the patient)|am i affected|is my patient affected|what (disease|condition) do i have|confirm (disease|condition|the diagnosis|my suspicion)|rule out|what does my patient have|what''?s wrong with my patient|should i tell (my patient|them)|tell my patient|will (my patient|they get|i get)|how long (does he|does she|do i) have|interpret (it and tell me|my)') THEN 'diagnosis'
+ WHEN regexp_matches(lower(q), 'classify th(is|e variant)|reclassify|in your opinion|pathogenicity score|apply the acmg|acmg criteria|predict (whether|if)|what is the real answer|give me a final') THEN 'pathogenicity'
+ WHEN regexp_matches(lower(q), 'how to (treat|manage)|(treatment|therapy|cure) for|what medication|which drug|prescribe|prescription|should i take|dosage|dose of|treatment options|clinical management') THEN 'treatment' END"""
+
+
+@registry.query("q_guard_query", sql=f"SELECT reason, count(*) AS n FROM (SELECT {_REASON_SQL} AS reason FROM (SELECT query_text AS q FROM audit_logs UNION ALL FROM {values_sql(_ASKS)} t(q))) GROUP BY 1")
 def q_guard_query(spark, sf_dir):
     asked = table(spark, sf_dir, "audit_logs").select(F.col("query_text").alias("q")).unionByName(literals(spark, "q", _ASKS))
     return asked.groupBy(guard.query_reason("q").alias("reason")).agg(F.count("*").alias("n"))
 
 
+_SAYS = [
+    ("You have gout [1]", True), ("You have access to it [1]", True), ("the treatment is rest", True), ("As known [2].", True), ("you have", False), ("This patient is consistent with X [1]", True),
+    ("seen in a 5-year-old and is associated with Y", True), ("I recommend a quick treatment", True), ("start the therapy", True), ("based on these results, the patient has Z", True),
+]
+
+
 @registry.query(
     "q_guard_response",
-    sql=f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT has THEN NULL {' '.join(f"WHEN regexp_matches(lower(r), '{'|'.join(v)}') THEN '{k}'" for k, v in guard.RESPONSE_PATTERNS.items())}
-      WHEN NOT regexp_matches(r, '\\[[0-9]+\\]') THEN 'uncited' END AS reason
-    FROM (SELECT response_text AS r, len(retrieved_variant_ids) > 0 AS has FROM audit_logs WHERE response_text IS NOT NULL AND retrieved_variant_ids IS NOT NULL
-          UNION ALL SELECT * FROM (VALUES ('You have gout [1]', true), ('the treatment is rest', true), ('As known [2].', true), ('you have', false)) t(r, has))) GROUP BY 1""",
+    sql=r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT has THEN NULL
+      WHEN regexp_matches(regexp_replace(l, '\byou have( access| the option| provided)', '', 'g'), '\byou have\b') OR regexp_matches(l, '\byour patient has\b|\bi diagnose\b|\bthe diagnosis is\b')
+        OR regexp_matches(l, '\bthis confirms\b[^\n]*\bdiagnosis\b') OR regexp_matches(l, '\bbased on (this|these) (variant|result)s?,? (you|the patient) (has|have)\b')
+        OR regexp_matches(l, '\b(this|the)\s+([0-9]+[\s-]?year[\s-]?old|patient|child|individual|case|boy|girl|man|woman)\b[^\n]{0,120}?\b(is (consistent with|associated with|suggestive of|diagnostic of|indicative of)|most likely has|likely has|points to)\b')
+        OR regexp_matches(l, '\bin (a|this|the)\s+([0-9]+[\s-]?year[\s-]?old|patient|child|individual|case)\b[^\n]{0,120}?\bis associated with\b') THEN 'diagnosis'
+      WHEN regexp_matches(l, 'you should take\b|i recommend\b[^\n]*\btreatment\b|prescribe\b|start\b[^\n]*\btherapy\b|the treatment is\b|take\b[^\n]*\bmedication\b') THEN 'treatment'
+      WHEN NOT regexp_matches(r, '\[[0-9]+\]') THEN 'uncited' END AS reason
+    FROM (SELECT *, lower(r) AS l FROM (SELECT response_text AS r, len(retrieved_variant_ids) > 0 AS has FROM audit_logs WHERE response_text IS NOT NULL AND retrieved_variant_ids IS NOT NULL
+          UNION ALL SELECT * FROM (VALUES """
+    + ", ".join(f"('{t}', {str(h).lower()})" for t, h in _SAYS)
+    + ") t(r, has)))) GROUP BY 1",
 )
 def q_guard_response(spark, sf_dir):
     logs = table(spark, sf_dir, "audit_logs").where("response_text IS NOT NULL AND retrieved_variant_ids IS NOT NULL")
     said = logs.select(F.col("response_text").alias("r"), (F.size("retrieved_variant_ids") > 0).alias("has"))
-    extra = spark.createDataFrame([("You have gout [1]", True), ("the treatment is rest", True), ("As known [2].", True), ("you have", False)], "r string, has boolean")
+    extra = spark.createDataFrame(_SAYS, "r string, has boolean")
     return said.unionByName(extra).groupBy(guard.response_reason("r", "has").alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -238,9 +254,25 @@ def q_think_strip(spark, sf_dir):
     return table(spark, sf_dir, "audit_logs").where("response_text IS NOT NULL").select("id", text.strip_think("response_text").alias("shown"))
 
 
-@registry.query("q_source_sanitise")
+_LINES = ["A. Source: ClinVar - x [1]; UniProt [P0]", "A. source: NCBI Gene [7]", "Source: GeneReviews - y; ; z\nnext  line ", "none"]
+
+
+@registry.query(
+    "q_source_sanitise",
+    sql=r"""WITH t AS (SELECT id, response_text AS t FROM audit_logs WHERE response_text IS NOT NULL UNION ALL SELECT -i, x FROM (VALUES """
+    + ", ".join("({}, '{}')".format(i + 1, x.replace("\n", "' || chr(10) || '")) for i, x in enumerate(_LINES))
+    + r""") v(i, x)),
+    p AS (SELECT id, string_split_regex(t, '(?i)source:\s*') AS parts, regexp_extract_all(t, '(?i)source:\s*') AS labels FROM t),
+    c AS (SELECT id, parts[1] || coalesce(array_to_string(list_transform(range(1, len(labels) + 1), lambda i:
+        CASE WHEN regexp_extract(parts[i + 1], '^[^\n]*') = '' THEN labels[i] || parts[i + 1] ELSE
+          coalesce(labels[i] || nullif(array_to_string(list_filter(list_transform(string_split(regexp_extract(parts[i + 1], '^[^\n]*'), ';'), lambda e: trim(e)), lambda e: e <> '' AND NOT
+            regexp_matches(lower(e), 'ncbi ?gene|gene ?id|entrez|uniprot|ensembl|refseq|dbsnp|genecards|wikipedia')), '; '), ''), '') || regexp_replace(parts[i + 1], '^[^\n]*', '') END), ''), '') AS x FROM p)
+    SELECT id, regexp_replace(regexp_replace(x, '[ \t]{2,}', ' ', 'g'), '(?m)[ \t]+$', '', 'g') AS clean FROM c""",
+)
 def q_source_sanitise(spark, sf_dir):
-    return table(spark, sf_dir, "audit_logs").where("response_text IS NOT NULL").select("id", cite.sanitise_source_line("response_text").alias("clean"))
+    logs = table(spark, sf_dir, "audit_logs").where("response_text IS NOT NULL").select("id", "response_text")
+    more = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(_LINES)], "id long, response_text string")
+    return logs.unionByName(more).select("id", cite.sanitise_source_line("response_text").alias("clean"))
 
 
 # ------------------------------------------------------------------ citations over the log
@@ -312,8 +344,7 @@ def q_postprocess(spark, sf_dir):
     cites = numbered(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "title", "url"))).alias("c"))
     logs = table(spark, sf_dir, "audit_logs").where("response_text IS NOT NULL").select("id", "response_text").distinct()
     joined = logs.join(cites, logs["id"] == cites["query_id"], "left")
-    of = lambda f, kind: F.coalesce(F.transform("c", lambda x: x[f]), F.array().cast(f"array<{kind}>"))
-    return joined.select("id", cite.postprocess_citations("response_text", of("number", "int"), of("title", "string"), of("url", "string")).alias("answer"))
+    return joined.select("id", cite.postprocess_citations("response_text", "c").alias("answer"))
 
 
 # ------------------------------------------------------------------ conversations

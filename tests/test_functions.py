@@ -90,10 +90,90 @@ def test_screens(spark):
     assert [r[0] for r in df.select(guard.response_reason("t", "e")).collect()] == ["diagnosis", "uncited", None, None]
 
 
-def test_citations():
-    assert cite.clean_source_line("A. Source: ClinVar - x [1]; UniProt [P0]") == "A. Source: ClinVar - x [1]"
-    assert cite.clean_source_line("A. Source: NCBI Gene [7]").rstrip() == "A."
-    got = cite.finish_answer("See [1] and [10].\n\nReferences:\n- [1] own", [1, 10], ["t1", "t10"], ["http://a", ""])
-    assert got == "See [[1]](http://a) and [10].\n\n---\n**References:**\n- [1] [t1](http://a)\n- [10] t10"
-    assert cite.finish_answer("Not mentioned in the retrieved evidence [1].", [1], ["t"], ["u"]) == "Not mentioned in the retrieved evidence [1]."
-    assert math.isclose(1, 1)
+# The cases that must be refused, allowed, flagged and passed.
+REFUSED = {
+    "Diagnose this 5-year-old presenting with cystic kidneys, polydactyly, and retinal degeneration.": "diagnosis",
+    "Is my patient's BRCA1 variant definitely disease-causing - should I tell them they will get cancer?": "diagnosis",
+    "Classify this novel TTN missense variant for me using ACMG criteria.": "pathogenicity",
+    "Is this VUS actually pathogenic in your opinion?": "pathogenicity",
+    "Apply the ACMG PS3/PM2/PP3 criteria and give me a final pathogenicity score for this variant.": "pathogenicity",
+}
+ALLOWED = (
+    "How is the sweat chloride test used to diagnose cystic fibrosis?",
+    "What is the recommended colonoscopy surveillance interval in Lynch syndrome?",
+    "How is hypertension managed in ADPKD according to GeneReviews?",
+    "Which genes cause Alport syndrome and what kidney phenotype do they produce?",
+    "What is the inheritance pattern of Huntington disease?",
+    "What is the clinical significance of the CFTR c.1521_1523delCTT (p.Phe508del) variant?",
+)
+FLAGGED = (
+    "The combination of cystic kidneys, polydactyly, and retinal degeneration in a 5-year-old is associated with autosomal recessive conditions including Senior-Loken syndrome.",
+    "This patient is consistent with Joubert syndrome.",
+)
+PASSED = (
+    "Alport syndrome should be considered in a young man with renal failure. This condition is associated with COL4A3, COL4A4, COL4A5.",
+    "Lynch syndrome is caused by variants in EPCAM, MLH1, MSH2.",
+    "The CFTR variant is associated with cystic fibrosis.",
+    "BRCA1 mutations are associated with hereditary breast and ovarian cancer, inherited autosomal dominantly.",
+    "You have access to the record.",
+)
+NOTHING_FOUND = (
+    "GeneReviews does not document phlebotomy treatment for hereditary hemochromatosis in the retrieved evidence.",
+    "No gene-disease association from a 2026 issue of Nature Genetics is described in the retrieved evidence.",
+    "No 2026 issue of Nature Genetics or any gene-disease association from that year is mentioned in the provided references.",
+    "No conditions are reported to be caused by pathogenic variants in the OR4F5 olfactory receptor gene based on the retrieved evidence.",
+    "Die Variante ist nicht in den abgerufenen Belegen erwähnt.",
+    "Es wurden keine relevanten Varianten gefunden.",
+)
+SOMETHING_FOUND = (
+    "The CFTR variant is pathogenic and associated with cystic fibrosis.",
+    "No population frequency data is available, but the variant is pathogenic and well documented.",
+)
+
+
+def test_screening_cases(spark):
+    asked = spark.createDataFrame([(q,) for q in [*REFUSED, *ALLOWED]], "t string")
+    assert [r[0] for r in asked.select(guard.query_reason("t")).collect()] == [*REFUSED.values(), *[None] * len(ALLOWED)]
+    said = spark.createDataFrame([(t + " [1]", True) for t in (*FLAGGED, *PASSED)], "t string, e boolean")
+    assert [r[0] for r in said.select(guard.response_reason("t", "e")).collect()] == ["diagnosis"] * len(FLAGGED) + [None] * len(PASSED)
+    found = spark.createDataFrame([(t,) for t in (*NOTHING_FOUND, *SOMETHING_FOUND)], "t string")
+    assert [r[0] for r in found.select(cite.says_no_evidence("t")).collect()] == [True] * len(NOTHING_FOUND) + [False] * len(SOMETHING_FOUND)
+
+
+@pytest.mark.parametrize("question, kind", [
+    ("What about g.43057051T>C in this syndrome", "variant"), ("Is p.Ala176Thr known in this disease?", "phenotype"), ("significance of rs121918007 in this disease", "phenotype"),
+    ("is c.526G>A in ALPL pathogenic", "variant"), ("hello", "non-clinical"), ("Welche Krankheit führt zu Nierenversagen, syndrome?", "phenotype"),
+])
+def test_query_type(spark, question, kind):
+    assert one(spark, parse.query_type, question) == kind
+
+
+@pytest.mark.parametrize("token, form", [("C.526g>a", "c.526G>A"), ("c. 1521_1523DELctt", "c.1521_1523delCTT"), ("c.5_6delinsaa", "c.5_6delinsAA"), ("c.7&gt;T", "c.7>T"), ("c.5266dupc", "c.5266dupC"), ("c.12-3t&gt;a", "c.12-3T>A")])
+def test_nucleotide_form(spark, token, form):
+    assert one(spark, parse.nucleotide_form, token) == form
+
+
+def test_citations(spark):
+    for text_, want in (
+        ("A. Source: ClinVar - x [1]; UniProt [P0]", "A. Source: ClinVar - x [1]"),
+        ("A. Source: NCBI Gene [7]", "A."),
+        ("No. The family. Source: NCBI Gene - OR4F5 [GeneID 340070]; UniProt - OR4F5 [P0DJD8].", "No. The family."),
+        ("Source: GeneReviews - Alport [NBK1207]; UniProt - COL4A5 [P29400]; ClinVar - COL4A5 [12345]", "Source: GeneReviews - Alport [NBK1207]; ClinVar - COL4A5 [12345]"),
+        ("CFTR. Source: GeneReviews - Cystic Fibrosis [NBK1250]; PMID:34934215 - Cystic fibrosis: current concepts.", "CFTR. Source: GeneReviews - Cystic Fibrosis [NBK1250]; PMID:34934215 - Cystic fibrosis: current concepts."),
+        ("source: refseq; ; x\nnext line  here ", "source: x\nnext line here"),
+        ("Alport syndrome.", "Alport syndrome."), ("", ""), (None, None), ("ends in Source:", "ends in Source:"),
+    ):
+        assert one(spark, cite.sanitise_source_line, text_) == want, text_
+    data = [
+        ("See [1] and [10].\n\nReferences:\n- [1] own", [(1, "t1", "http://a?b=$1"), (10, "t10", "")]),
+        ("Not mentioned in the retrieved evidence [1].", [(1, "t", "u")]),
+        ("Linked [2](old) [[1]](x) [3]", [(1, "t1", "u1"), (2, "t2", "u2")]),
+        ("No marker [7].", [(1, "t", "u")]), ("Bare. Source: UniProt", []), (None, [(1, "t", "u")]), ("None [1]", None),
+    ]
+    df = spark.createDataFrame(data, "t string, c array<struct<number:int,title:string,url:string>>")
+    assert [r[0] for r in df.select(cite.postprocess_citations("t", "c")).collect()] == [
+        "See [[1]](http://a?b=$1) and [10].\n\n---\n**References:**\n- [1] [t1](http://a?b=$1)\n- [10] t10",
+        "Not mentioned in the retrieved evidence [1].",
+        "Linked [[2]](u2) [[1]](x) [3]\n\n---\n**References:**\n- [1] [t1](u1)\n- [2] [t2](u2)",
+        "No marker [7].", "Bare.", None, "None [1]",
+    ]
