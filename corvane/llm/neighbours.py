@@ -4,7 +4,9 @@ A table's hash of a unit vector x is floor((a.x + b) / w) for several Gaussian d
 Euclidean distance; for unit vectors that distance and the cosine order alike. A vector lies in its own bucket of every table
 and also visits the buckets that a near vector would most likely have fallen into: those reached by moving the coordinates
 that lie nearest to a cell border, in the order of the sum of squared distances to the borders, which is the order of
-estimated success. Vectors that meet in a bucket are candidates; their exact cosines decide.
+estimated success. Vectors that meet in a bucket are candidates. What most of them come to is an upper bound of their cosine,
+from an outline of each vector that travels with its bucket entries; only candidates whose bound reaches the wanted cosine are
+compared in full. The bound is never less than the cosine, so it loses nothing: the buckets alone decide what is found.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.retrieve import SLICE, RunningTop
-from corvane.session import cut_lineage, spread
+from corvane.session import broadcast_if_small, cut_lineage, spread
 
 
 @dataclass(frozen=True)
@@ -40,10 +42,16 @@ class Hashing:
     #: Buckets that a vector visits in each table besides its own.
     probes: int = 4
     seed: int = 11
-    #: Members of a bucket that are compared by their sketches; a fuller bucket is compared exactly, in blocks.
-    crowd: int = 512
+    #: A bucket of about so many members is spread over tasks in blocks. Both ways compare exactly, so this sets no result.
+    crowd: int = 2_048
     #: Vectors in a block of such a bucket.
     block: int = 4_096
+    #: One record in so many is hashed ahead to find such buckets.
+    sample: int = 16
+
+
+#: Coordinates of a vector's outline; a last byte holds the length of the rest.
+OUTLINE = 23
 
 
 @lru_cache(8)
@@ -51,11 +59,10 @@ def _directions(h: Hashing, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     rng = np.random.default_rng(h.seed)
     a = rng.standard_normal((dim, h.tables * h.hashes)).astype(np.float32)
     b = rng.random(h.tables * h.hashes, dtype=np.float32) * h.width
-    # Orthogonal in blocks of the dimension: the share of differing signs varies less about its mean, the angle, than for free ones.
-    free = rng.standard_normal((dim, 128))
-    planes = np.concatenate([np.linalg.qr(free[:, i : i + dim])[0] for i in range(0, 128, dim)], axis=1).astype(np.float32)
+    # The first coordinates of a random rotation, which the bound needs to be one.
+    axes = np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :OUTLINE]
     mix = rng.integers(1, 2**63 - 1, h.hashes, dtype=np.int64) | 1
-    return a, b, planes, mix
+    return a, b, axes, mix
 
 
 @lru_cache(8)
@@ -107,14 +114,33 @@ def bucket_keys(x: np.ndarray, h: Hashing, probes: int) -> np.ndarray:
     return out
 
 
-def _sketch(x: np.ndarray, h: Hashing) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.packbits(x.astype(np.float32) @ _directions(h, x.shape[1])[2] > 0, axis=1).view(np.int64)
-    return bits[:, 0].copy(), bits[:, 1].copy()
+def _outline(x: np.ndarray, h: Hashing) -> np.ndarray:
+    """(rows, 3) numbers of 64 bits: of each unit vector OUTLINE rotated coordinates in steps of 1/127, and the length of the rest, rounded up."""
+    y = x.astype(np.float64) @ _directions(h, x.shape[1])[2]
+    out = np.zeros((len(x), OUTLINE + 1), np.uint8)
+    out[:, : y.shape[1]] = np.rint(np.clip(y, -1, 1) * 127).astype(np.int8).view(np.uint8)
+    rest = np.sqrt(np.maximum(0, 1 + 1e-5 - (y * y).sum(1)))
+    out[:, OUTLINE] = np.minimum(255, np.ceil(rest * 255)).astype(np.uint8)
+    return out.view(np.int64)
+
+
+def _unfold(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coordinates, their length, length of the rest) from the three columns of an outline."""
+    raw = np.stack(columns, 1).view(np.uint8)
+    q = raw[:, :OUTLINE].view(np.int8).astype(np.float32) / 127
+    return q, np.sqrt((q * q).sum(1)), raw[:, OUTLINE].astype(np.float32) / 255
+
 
+#: How far a coordinate's rounding can move the outline.
+_ROUNDING = math.sqrt(OUTLINE) / 254
 
-def _ones(x: np.ndarray) -> np.ndarray:
-    """Set bits of every number; as unsigned, since the count takes a signed number's absolute value."""
-    return np.bitwise_count(np.ascontiguousarray(x).view(np.uint64)).astype(np.int16)
+
+def _bound(a: tuple, b: tuple) -> np.ndarray:
+    """No less than the cosine of two vectors, from their unfolded outlines.
+
+    The product of the outlines, what their rounding can add to it, and the product of the lengths of the rests (Cauchy-Schwarz).
+    """
+    return (a[0] * b[0]).sum(1) + _ROUNDING * (a[1] + b[1] + _ROUNDING) + a[2] * b[2] + 1e-4
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -124,6 +150,14 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(len(column), -1)
 
 
+def _by_dimension(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for every dimension among the lists of a column without nulls."""
+    size = np.asarray(column.value_lengths())
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        yield at, _matrix(column.take(pa.array(at)) if len(at) < len(column) else column)
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.reshape(-1).astype(np.float32))
 
@@ -158,68 +192,59 @@ def clean_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = No
     return spread(df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))).mapInArrow(clean, f"id {kind}, vkey binary, v array<float>")
 
 
-def _within(c: float, bits: int = 128, deviations: float = 4.0) -> int:
-    """How many of `bits` signs may differ for a cosine of at least `c`, up to so many standard deviations."""
-    p = math.acos(max(-1.0, min(1.0, c))) / math.pi
-    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+def _candidates(entries: DataFrame, kind: str, min_cosine: float) -> DataFrame:
+    """(a, b): pairs a < b that share a bucket and whose cosine may be `min_cosine` or more."""
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What is held is the bucket that may go on in the next batch, in the pieces it came in.
+        held: list[list[np.ndarray]] = []
 
-def _candidates(entries: DataFrame, kind: str, h: Hashing, differs: int) -> DataFrame:
-    """(a, b, crowd): pairs a < b that share a bucket and whose sketches agree; of a crowded bucket each member once, as
-    (a, null, bucket)."""
+        def joined() -> list[np.ndarray]:
+            return held[0] if len(held) == 1 else [np.concatenate(c) for c in zip(*held)]
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for b in _and_end(batches):
-            if b is not None:
-                cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-                cols = cols if carry is None else [np.concatenate([x, y]) for x, y in zip(carry, cols)]
-                cut = np.searchsorted(cols[0], cols[0][-1])  # the last bucket may go on in the next batch
-                carry, cols = [c[cut:] for c in cols], [c[:cut] for c in cols]
-            elif carry is None:
-                return
-            else:
-                cols = carry
-            if len(cols[0]):
-                yield from pairs(*cols)
-
-    def pairs(bucket: np.ndarray, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if held and held[-1][0][-1] != cols[0][0]:
+                yield from pairs(*joined())
+                held = []
+            cut = np.searchsorted(cols[0], cols[0][-1])
+            if cut:
+                held.append([c[:cut] for c in cols])
+                yield from pairs(*joined())
+                held = []
+            held.append([c[cut:] for c in cols])
+        if held:
+            yield from pairs(*joined())
+
+    def pairs(bucket: np.ndarray, ids: np.ndarray, *outline: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1]
         size = np.diff(np.r_[start, len(bucket)])
         each = np.repeat(size, size)
         inside = (np.arange(len(bucket)) - np.repeat(start, size)).astype(np.int64)
-        crowded = each > h.crowd
-        if crowded.any():
-            who = pa.array(ids[crowded])
-            yield pa.RecordBatch.from_arrays([who, pa.nulls(len(who), who.type), pa.array(bucket[crowded])], ["a", "b", "crowd"])
+        shape = _unfold(list(outline))
         # The j-th step compares every row with the one j places on in its bucket: all pairs, one vector operation each.
-        for step in range(1, int(size[size <= h.crowd].max(initial=1))):
-            at = np.flatnonzero(~crowded & (inside + step < each))
-            x, y = at, at + step
-            near = _ones(s0[x] ^ s0[y]) + _ones(s1[x] ^ s1[y]) <= differs
-            x, y = ids[x[near]], ids[y[near]]
-            if len(x):
-                p = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                p = p[p[:, 0] < p[:, 1]]
-                a = pa.array(np.ascontiguousarray(p[:, 0]))
-                yield pa.RecordBatch.from_arrays([a, pa.array(np.ascontiguousarray(p[:, 1])), pa.nulls(len(a), pa.int64())], ["a", "b", "crowd"])
+        x = np.arange(len(bucket))
+        for step in range(1, int(size.max(initial=1))):
+            x = x[inside[x] + step < each[x]]
+            y = x + step
+            near = _bound(tuple(c[x] for c in shape), tuple(c[y] for c in shape)) >= min_cosine
+            p, q = ids[x[near]], ids[y[near]]
+            if len(p):
+                both = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0)
+                both = both[both[:, 0] < both[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
 
     together = entries.repartition("bucket").sortWithinPartitions("bucket")
-    return together.mapInArrow(meet, f"a {kind}, b {kind}, crowd long")
-
-
-def _and_end(items: Iterator) -> Iterator:
-    for x in items:
-        if x.num_rows:
-            yield x
-    yield None
+    return together.mapInArrow(meet, f"a {kind}, b {kind}")
 
 
 def _crowd_pairs(crowds: DataFrame, reps: DataFrame, kind: str, h: Hashing, k: int, least: float) -> DataFrame:
     """(a, b) within crowded buckets: of every member the `k` nearest of each block, by exact cosines.
 
     A crowd of m vectors is cut into blocks of `h.block`; every two blocks meet in a task of their own, so no task holds the
-    crowd and nothing is left out.
+    crowd and nothing is left out. The work grows with the square of a crowd's different directions, copies being one.
     """
     sizes = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / h.block).cast("int").alias("blocks"))
     # Members of one crowd are spread over its blocks by hash.
@@ -249,12 +274,16 @@ def _crowd_pairs(crowds: DataFrame, reps: DataFrame, kind: str, h: Hashing, k: i
     return rows.groupBy("crowd", "i", "j").applyInPandas(nearest, f"a {kind}, b {kind}")
 
 
+#: Copies of one vector that are joined to their class in one task.
+HOT_CLASS = 200_000
+
+
 def similar_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_cosine: float = 0.95, h: Hashing = Hashing(), dim: int | None = None) -> DataFrame:
     """(id, other, cosine, place): for every record its `k` most similar others, as far as their cosine is `min_cosine` or more.
 
     Places follow the cosine, ties the lesser id. Vectors are compared by direction to six decimals. Vectors that
     `clean_vectors` leaves out take no part; a record of several rows counts once, with the vector of the greatest digest.
-    Records are distinct ids; ids must be integers. An empty table has no neighbours; columns besides the two are not read.
+    Vectors of different dimensions are not compared. Records are distinct ids; ids must be integers. An empty table has no neighbours; columns besides the two are not read.
 
     Copies, records of one direction, are one class. A class is hashed, visited and compared once, whatever its size; its
     members name one another by the lesser ids, and name members of other classes after them. So a vector that a third of
@@ -273,26 +302,37 @@ def similar_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, ids = _matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
-                keys = bucket_keys(x, h, h.probes).reshape(len(x), -1)
+            for at, x in _by_dimension(b.column(1)):
+                ids = b.column(0).to_numpy(zero_copy_only=False)[at]
+                # Vectors of different dimensions never meet.
+                with np.errstate(over="ignore"):
+                    keys = bucket_keys(x, h, h.probes).reshape(len(x), -1) ^ (np.int64(x.shape[1]) * np.int64(0x5851F42D4C957F2D))
                 n = keys.shape[1]
-                s0, s1 = _sketch(x, h)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(c, n)) for c in (ids, s0, s1)]], ["bucket", "id", "s0", "s1"])
-
-    entries = reps.select("rep", "v").mapInArrow(enter, f"bucket long, id {kind}, s0 long, s1 long")
-    met = cut_lineage(_candidates(entries, kind, h, _within(min_cosine)).distinct())
-    pairs = met.where(F.col("b").isNotNull()).select("a", "b")
-    crowds = met.where(F.col("b").isNull()).select("a", "crowd")
-    if not crowds.isEmpty():
+                outline = _outline(x, h)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, n)), *[pa.array(np.repeat(outline[:, i], n)) for i in range(3)]], ["bucket", "id", "o0", "o1", "o2"])
+
+    entered = lambda rows: rows.select("rep", "v").mapInArrow(enter, f"bucket long, id {kind}, o0 long, o1 long, o2 long")
+    # Crowded buckets are found on a sample before any task is given one, and spread; an overlooked one is only slower.
+    part = reps.where(F.pmod(F.xxhash64("rep"), F.lit(h.sample)) == 0)
+    crowded = entered(part).groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") * h.sample >= h.crowd).select("bucket")
+    crowded = cut_lineage(crowded)
+    entries = entered(reps)
+    if crowded.isEmpty():
+        pairs = _candidates(entries, kind, min_cosine).distinct()
+    else:
+        known = broadcast_if_small(crowded, 100_000)
+        crowds = cut_lineage(entries.join(known, "bucket", "left_semi").select(F.col("id").alias("a"), F.col("bucket").alias("crowd")).distinct())
+        pairs = _candidates(entries.join(known, "bucket", "left_anti"), kind, min_cosine)
         pairs = pairs.unionByName(_crowd_pairs(crowds, reps, kind, h, k, min_cosine)).distinct()
+    pairs = cut_lineage(pairs)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = (_matrix(b.column(i)).astype(np.float64) for i in (2, 3))
+            for at, x in _by_dimension(b.column(2)):
+                some = pa.array(at)
+                x, y = x.astype(np.float64), _matrix(b.column(3).take(some)).astype(np.float64)
                 cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cos)], ["a", "b", "cosine"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array(cos)], ["a", "b", "cosine"])
 
     va, vb = reps.select(F.col("rep").alias("a"), F.col("v").alias("va")), reps.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
     scored = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(exact, f"a {kind}, b {kind}, cosine double")
@@ -311,7 +351,12 @@ def similar_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min
     lists = inside.unionByName(outside).withColumn("_r", F.row_number().over(by_place)).where(F.col("_r") <= k + 1)
     named = lists.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))).alias("list"))
     classes = reps.select("vkey", "rep").join(named, "rep").select("vkey", "rep", "list")
-    joined = record.join(classes, "vkey")
+    # A class of very many copies meets its members in as many tasks as it has shares of `block` members.
+    hot = record.groupBy("vkey").agg(F.ceil(F.count("*") / HOT_CLASS).cast("int").alias("_shares")).where(F.col("_shares") > 1)
+    hot = broadcast_if_small(hot, 100_000)
+    spread_out = classes.join(hot, "vkey", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    member = record.join(hot, "vkey", "left").withColumn("_share", F.pmod(F.xxhash64("id"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+    joined = member.join(spread_out, ["vkey", "_share"])
     # A class of one lists only others; a member of a greater class lists its class first, its own id left out.
     others = F.slice(F.filter("list", lambda x: x["other"] != F.col("id")), 1, k)
     out = joined.select("id", F.posexplode(others).alias("_p", "_x"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from corvane.llm.neighbours import Hashing, bucket_keys, neighbour_pairs, probe_sets, search_neighbours, similar_neighbours
+from corvane.llm.neighbours import Hashing, _bound, _outline, _unfold, bucket_keys, neighbour_pairs, probe_sets, search_neighbours, similar_neighbours
 
 SCHEMA = "id long, embedding array<float>, v string, rep string"
 
@@ -29,10 +29,37 @@ def test_pairs_match_brute_force(spark):
     got = rows(neighbour_pairs(similar_neighbours(df, "id", "embedding", min_cosine=0.95), "id"))
     assert got == brute(np.array(x, np.float32).astype(float), list(range(len(x))), 5, 0.95)
     # Every bucket counts as crowded: the exact blocks give the same.
-    crowded = Hashing(crowd=2, block=7)
+    crowded = Hashing(crowd=2, block=7, sample=1)
     assert rows(neighbour_pairs(similar_neighbours(df, "id", "embedding", min_cosine=0.95, h=crowded), "id")) == got
 
 
+def test_bound_is_never_less_than_the_cosine():
+    rng = np.random.default_rng(4)
+    for dim in (2, 16, 23, 24, 64, 300):
+        x = rng.standard_normal((500, dim))
+        x[:100] *= np.eye(dim)[0]
+        x[100:200] = x[200:300] + 0.2 * x[100:200]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        shape = _unfold(list(_outline(x, Hashing()).T))
+        a, b = rng.integers(0, 500, 20_000), rng.integers(0, 500, 20_000)
+        a[:100], b[:100] = np.arange(100, 200), np.arange(200, 300)
+        bound = _bound(tuple(c[a] for c in shape), tuple(c[b] for c in shape))
+        assert (bound >= (x[a] * x[b]).sum(1)).all()
+        assert dim < 64 or (bound < 0.95).mean() > 0.5
+
+
+def test_crowds_found_on_a_sample_change_nothing(spark):
+    """Nearby vectors of one cone, in numbers below and above the limit of a crowd, and vectors of another dimension."""
+    rng = np.random.default_rng(6)
+    x = np.eye(12)[0] + 0.08 * rng.standard_normal((700, 12))
+    data = [(i, [float(f) for f in r], "", "") for i, r in enumerate(x)] + [(5000 + i, [float(f) for f in r[:5]], "", "") for i, r in enumerate(x[:20])]
+    df = spark.createDataFrame(data, SCHEMA)
+    want = brute(np.array(x, np.float32).astype(float), list(range(700)), 5, 0.95)
+    few = brute(np.array(x[:20, :5], np.float32).astype(float), list(range(5000, 5020)), 5, 0.95)
+    for h in (Hashing(), Hashing(crowd=100, block=50, sample=4)):
+        assert rows(neighbour_pairs(similar_neighbours(df, "id", "embedding", h=h), "id")) == sorted(want + few)
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 8))
