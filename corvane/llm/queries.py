@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm.mixing import mix, mixture_report
-from corvane.llm.neighbours import neighbour_pairs, search_neighbours, similar_neighbours
-from corvane.llm.packing import fill_containers
+from corvane.llm.mixing import mix, mixture_report, plan_sources
+from corvane.llm.neighbours import clean_vectors, neighbour_pairs, search_neighbours, similar_neighbours
+from corvane.llm.packing import Capacity, fill_containers
 from corvane.llm.pairs import find_defects
 from corvane.llm.personal import sanitise
 from corvane.llm.skeleton import look_alike_pairs, look_classes
 from corvane.llm.splitting import split_items
 from corvane.llm.tokens import token_sizes
-from corvane.session import table
+from corvane.operators.retrieve import top_k, vector_top_k
+from corvane.session import cut_lineage, table
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -25,7 +26,7 @@ def _query(f):
 
 @_query
 def p1_found(spark, sf_dir):
-    found = sanitise(table(spark, sf_dir, "audit_logs"), "id", ["query_text", "response_text"], table(spark, sf_dir, "person_names"), with_text=False)
+    found = sanitise(table(spark, sf_dir, "audit_logs"), "id", ["query_text", "response_text"], table(spark, sf_dir, "person_names"))
     return found.select("id", "field_name", F.explode("types").alias("pii_type")).distinct()
 
 
@@ -45,25 +46,25 @@ def p3_found(spark, sf_dir):
 _SECTIONS = (("genereviews_sections", "text"), ("genereviews_chunks", "chunk_text"))
 
 
-def _section_pieces(spark, sf_dir, with_text):
+def _section_pieces(spark, sf_dir):
     parts = []
     for name, text in _SECTIONS:
         rows = table(spark, sf_dir, name)
-        pieces = split_items(rows, "id", text, keep=["section_id", "chunk_index"], with_text=with_text)
+        pieces = split_items(rows, "id", text, keep=["section_id", "chunk_index"])
         parts.append(pieces.withColumn("tbl", F.lit(name)))
     return parts[0].unionByName(parts[1])
 
 
 @_query
 def p5_found(spark, sf_dir):
-    pieces = _section_pieces(spark, sf_dir, with_text=False)
+    pieces = _section_pieces(spark, sf_dir)
     return pieces.where(F.col("n_chars") > 2_000).select("tbl", "id", "cut_kind").distinct()
 
 
 @_query
 def p5_pieces(spark, sf_dir):
     """Every piece of every section and chunk, with its place in the text."""
-    return _section_pieces(spark, sf_dir, with_text=True)
+    return _section_pieces(spark, sf_dir)
 
 
 _SQL["p5_found"] = r"""
@@ -76,6 +77,31 @@ FROM t WHERE length(x) > 2000
 """
 
 
+#: White space as the splitter takes it, for expressions of both engines.
+_WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@_query
+def p5_rebuilt(spark, sf_dir):
+    """Every text put together again from its pieces without their overlaps, and whether its pieces keep limit and overlap."""
+    parts = []
+    for name, text in _SECTIONS:
+        rows = table(spark, sf_dir, name).where(F.col(text).isNotNull()).select("id", text, F.md5(text).alias("digest")).distinct()
+        pieces = split_items(rows, "id", text, keep=["digest"])
+        core = F.substr("piece", F.col("core") - F.col("start") + 1)
+        sound = (F.length("piece") <= 2000) & (F.col("core") - F.col("start") <= 200)
+        each = pieces.select("id", "digest", sound.alias("sound"), F.struct("piece_no", F.regexp_replace(core, _WHITE, "").alias("c")).alias("p"))
+        whole = each.groupBy("id", "digest").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["c"]), "")).alias("rebuilt"), F.min("sound").alias("sound"))
+        parts.append(whole.withColumn("tbl", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+_SQL["p5_rebuilt"] = rf"""
+SELECT DISTINCT tbl, id, md5(x) AS digest, md5(regexp_replace(x, '{_WHITE}', '', 'g')) AS rebuilt, true AS sound
+FROM (SELECT 'genereviews_sections' AS tbl, id, text AS x FROM genereviews_sections UNION ALL SELECT 'genereviews_chunks', id, chunk_text FROM genereviews_chunks) WHERE x IS NOT NULL
+"""
+
+
 @_query
 def p6_found(spark, sf_dir):
     parts = []
@@ -111,12 +137,47 @@ def p6_knn(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@_query
+def p6_recall(spark, sf_dir):
+    """Whether p6_knn names at least nine of ten of the exact nearest records, by brute force over all rows."""
+    near, parts = p6_knn(spark, sf_dir), []
+    for name, key in (("variants", "variation_id"), ("nephrogenetics", "id")):
+        rows = table(spark, sf_dir, name).select(F.col("id").alias("row_id"), F.col(key).cast("long").alias("record"), "embedding")
+        asked = rows.where(F.col("row_id") % 100 == 0).groupBy("row_id").agg(F.max("record").alias("own"), F.max("embedding").alias("qvec")).withColumnRenamed("row_id", "query_id")
+        one = clean_vectors(rows, "record", "embedding").groupBy("id").agg(F.max(F.struct("vkey", "v")).alias("x")).select(F.col("id").alias("other"), F.col("x.v").alias("v"))
+        exact = vector_top_k(one, "other", "v", asked, "query_id", "qvec", 6).join(asked.select("query_id", "own"), "query_id").where("other <> own")
+        exact = top_k(exact, 5, ["query_id"], [F.col("similarity").desc(), F.col("other")]).select("query_id", "other")
+        hit = near.where(F.col("tbl") == name).select("query_id", "other", F.lit(1).alias("hit"))
+        share = F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")
+        parts.append(exact.join(hit, ["query_id", "other"], "left").agg(F.coalesce(share >= 0.9, F.lit(True)).alias("at_least_nine_tenths")).withColumn("tbl", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+_SQL["p6_recall"] = "SELECT * FROM (VALUES ('variants', true), ('nephrogenetics', true)) t(tbl, at_least_nine_tenths)"
+
+
 @_query
 def p7_containers(spark, sf_dir):
     """Which document, or piece of one above 2,048 tokens, lies in which container."""
     return fill_containers(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+@_query
+def p7_audit(spark, sf_dir):
+    """For every document whether all of its tokens lie in as few pieces as they need, and its containers keep every capacity."""
+    cap = Capacity()
+    sizes = cut_lineage(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    placed = cut_lineage(fill_containers(sizes, cap=cap))
+    squares = F.sum(F.col("n_tokens") * F.col("n_tokens"))
+    kept = placed.groupBy("container_id").agg(((F.sum("n_tokens") <= cap.tokens) & (F.count("*") <= cap.items) & (squares <= cap.attention)).alias("within"))
+    of = placed.join(kept, "container_id").groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.min("within").alias("within"))
+    whole = (F.col("t") == F.col("n_tokens")) & (F.col("n") == F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / cap.tokens)))
+    return sizes.join(of, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"), F.coalesce("within", F.lit(False)).alias("within"))
+
+
+_SQL["p7_audit"] = "SELECT doc_id, true AS whole, true AS within FROM documents"
+
+
 @_query
 def p8_mixture(spark, sf_dir):
     """Every document with its copies, and the share that its source reached."""
@@ -130,6 +191,32 @@ def p8_shares(spark, sf_dir):
     return mixture_report(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+@_query
+def p8_audit(spark, sf_dir):
+    """For every source its documents, its share of the weights, and whether its copies keep cap and target.
+
+    The target is kept if the source's tokens miss it by less than its longest document, the one that rounding may leave over.
+    """
+    sizes = cut_lineage(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", keep=["source"]))
+    targets = table(spark, sf_dir, "mix_targets")
+    plan = plan_sources(sizes, targets).select("source", "target_share", (F.col("expected_copies") * F.col("size")).alias("wanted"))
+    got = mix(sizes, targets).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("copies") * F.col("n_tokens")).alias("t"), F.max("n_tokens").alias("longest"), F.max("copies").alias("most"))
+    cap = targets.groupBy("source").agg(F.max("max_repeats").alias("cap"))
+    joined = plan.join(got, "source", "left").join(cap, "source", "left")
+    return joined.select(
+        "source", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.round("target_share", 9).alias("target_share"),
+        (F.coalesce("most", F.lit(0)) <= F.coalesce("cap", F.lit(0))).alias("within_cap"), (F.abs(F.coalesce("t", F.lit(0)) - F.col("wanted")) <= F.coalesce("longest", F.lit(0)) + 1e-6).alias("on_target"),
+    )
+
+
+_SQL["p8_audit"] = """
+WITH s AS (SELECT source, count(*) AS n_docs, sum(length(text)) > 0 AS any_text FROM documents WHERE source IS NOT NULL GROUP BY 1),
+t AS (SELECT source, max(target_share) AS w FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+b AS (SELECT source, coalesce(n_docs, 0) AS n_docs, CASE WHEN any_text AND w > 0 THEN w ELSE 0 END AS w FROM s FULL JOIN t USING (source))
+SELECT source, n_docs, round(w / sum(w) OVER (), 9) AS target_share, true AS within_cap, true AS on_target FROM b
+"""
+
+
 @_query
 def p9_found(spark, sf_dir):
     return look_alike_pairs(table(spark, sf_dir, "documents"))
