@@ -10,8 +10,33 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.cite import NO_EVIDENCE, UNKNOWN_SOURCES
+from corvane.functions.text import REFERENCES_HEADING, chunk_sentences
+
 _WORDS = r"filter(split(lower(t), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
+_PART = r"r'(?is)^(source:\s*)([^\n]*)(.*)$'"
+_MADE_UP = "exists(array(" + ", ".join(f"'{u}'" for u in UNKNOWN_SOURCES) + "), u -> contains(lower(e), u))"
+_KEPT = f"array_join(filter(transform(split(regexp_extract(x, {_PART}, 2), ';'), e -> trim(e)), e -> e <> '' AND NOT {_MADE_UP}), '; ')"
 _SQL = {
+    "sanitise_source_line": (
+        "t STRING",
+        "STRING",
+        f"regexp_replace(regexp_replace(array_join(transform(split(t, '(?i)(?=source:)'), x -> CASE WHEN regexp_extract(x, {_PART}, 1) = '' OR regexp_extract(x, {_PART}, 2) = '' THEN x"
+        f" ELSE concat(CASE WHEN {_KEPT} <> '' THEN concat(regexp_extract(x, {_PART}, 1), {_KEPT}) ELSE '' END, regexp_extract(x, {_PART}, 3)) END), ''), r'[ \t]{{2,}}', ' '), r'(?m)[ \t]+$', '')",
+    ),
+    "answer_body": ("t STRING", "STRING", rf"regexp_replace(regexp_replace(sanitise_source_line(t), r'(?is){REFERENCES_HEADING}.*$', ''), r'\s+$', '')"),
+    "used_citations": (
+        "t STRING, c ARRAY<STRUCT<number INT, title STRING, url STRING>>",
+        "ARRAY<STRUCT<number INT, title STRING, url STRING>>",
+        r"filter(c, x -> array_contains(transform(regexp_extract_all(t, r'\[(\d{1,9})\]', 1), n -> int(n)), x.number))",
+    ),
+    "postprocess_citations": (
+        "t STRING, c ARRAY<STRUCT<number INT, title STRING, url STRING>>",
+        "STRING",
+        f"CASE WHEN coalesce(size(c), 0) <= 0 THEN sanitise_source_line(t) WHEN answer_body(t) RLIKE r'(?iu){NO_EVIDENCE}' OR size(used_citations(answer_body(t), c)) = 0 THEN answer_body(t) ELSE concat("
+        r"aggregate(filter(used_citations(answer_body(t), c), x -> coalesce(x.url, '') <> ''), answer_body(t), (acc, x) -> regexp_replace(acc, concat(r'(?<!\[)\[', x.number, r'\](?:\([^)]*\))?'), concat('[[', x.number, ']](', regexp_replace(x.url, r'([\\$])', r'\\$1'), ')'))),"
+        " '\n\n---\n**References:**\n', array_join(transform(used_citations(answer_body(t), c), x -> concat('- [', x.number, '] ', CASE WHEN coalesce(x.url, '') <> '' THEN concat('[', x.title, '](', x.url, ')') ELSE x.title END)), '\n')) END",
+    ),
     "trigrams": ("t STRING", "ARRAY<STRING>", f"array_distinct(flatten(transform({_WORDS}, w -> transform(sequence(1, length(w) + 1), i -> substring(concat('  ', w, ' '), i, 3)))))"),
     "trigram_similarity": (
         "a STRING, b STRING",
@@ -53,5 +78,11 @@ def register(spark: SparkSession) -> list[str]:
             for row in parse_article((xml or "").encode(), name or ""):
                 yield tuple(row[c] for c in names)
 
+    @F.udtf(returnType="chunk_index int, chunk string")
+    class TextChunks:
+        def eval(self, text: str) -> Iterator[tuple]:
+            yield from enumerate(chunk_sentences(text))
+
     spark.udtf.register("nxml_sections", NxmlSections)
-    return [*_SQL, "nxml_sections"]
+    spark.udtf.register("text_chunks", TextChunks)
+    return [*_SQL, "nxml_sections", "text_chunks"]

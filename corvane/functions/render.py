@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import plural, snippet
 
-#: What a type of question is called in a trace.
+# What a type of question is called in a trace, and the wording of its lines.
 TYPE_LABELS: Mapping[str, str] = {"variant": "variant lookup", "phenotype": "phenotype search", "non-clinical": "non-clinical (no retrieval)"}
 
 
@@ -57,13 +57,35 @@ def augmented_prompt(system: str, evidence: Column | str) -> Column:
     return F.concat(F.lit(system.rstrip() + "\n\nEVIDENCE:\n"), F.coalesce(_col(evidence), F.lit("(none)")))
 
 
-def genes_of_disease(queries: DataFrame, index: DataFrame, query: str = "query_id", text: str = "text", disease: str = "disease", gene: str = "gene") -> DataFrame:
+def genes_of_disease(queries: DataFrame, index: DataFrame, query: str = "query_id", text: str = "text", disease: str = "disease", gene: str = "gene", most: int = 10_000) -> DataFrame:
     """(query, disease, genes): diseases whose name holds the whole question, in any case, with their sorted genes.
 
-    The index is the small table of articles; Spark broadcasts it by its own measure.
+    The index is the small table of articles, one row per article and gene. It is sent to every task if it has at most `most`
+    rows; a larger one is met on the trigrams of the question, which every name that holds it has, rarest first for each question.
+    Questions of one or two characters are met on those.
     """
     asked = queries.select(query, F.lower(F.trim(text)).alias("_q")).where("_q <> ''")
-    hits = asked.join(index.select(disease, gene), F.lower(F.col(disease)).contains(F.col("_q")))
+    names = index.select(disease, gene, F.lower(F.col(disease)).alias("_d")).where("_d IS NOT NULL")
+    holds = F.col("_d").contains(F.col("_q"))
+    if names.limit(most + 1).count() <= most:
+        hits = asked.join(F.broadcast(names), holds)
+    else:
+
+        def grams(c: Column, n: int = 3) -> Column:
+            return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))
+
+        known = names.select("_d").distinct().where(F.length("_d") >= 3).select("_d", F.explode(grams(F.col("_d"))).alias("_t"))
+        often = known.groupBy("_t").agg(F.count("*").alias("_n"))
+        long = asked.where(F.length("_q") >= 3)
+        # The rarest trigram of a question; one that no name has rules the question out.
+        rare = long.select("_q").distinct().select("_q", F.explode(grams(F.col("_q"))).alias("_t")).join(often, "_t", "left")
+        rare = rare.groupBy("_q").agg(F.min_by("_t", F.coalesce("_n", F.lit(0))).alias("_t"))
+        met = rare.join(known, "_t").where(holds).select("_q", "_d")
+        short = asked.where(F.length("_q") < 3).select("_q").distinct()
+        least = names.select("_d").distinct().where("_d <> ''")
+        ones = least.select("_d", F.explode(grams(F.col("_d"), 1)).alias("_q")).unionByName(least.where(F.length("_d") > 1).select("_d", F.explode(grams(F.col("_d"), 2)).alias("_q")))
+        met = met.unionByName(short.join(ones, "_q").select("_q", "_d")).distinct()
+        hits = asked.join(met, "_q").join(names, "_d")
     return hits.groupBy(query, disease).agg(F.sort_array(F.collect_set(gene)).alias("genes"))
 
 

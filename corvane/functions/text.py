@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +64,31 @@ def sentence_chunks(text: Column | str, max_chars: int = MAX_CHARS, overlap: int
     return F.when(whole, F.array(text)).otherwise(F.aggregate(sentences, start, step, finish))
 
 
+def chunk_sentences(text: str | None, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
+    """What `sentence_chunks` gives, for use outside of column expressions; null has no chunks."""
+    if text is None:
+        return []
+    if len(text) <= max_chars or " | " in text:
+        return [text]
+    out: list[str] = []
+    buffer: list[str] = []
+    size = 0
+    for sentence in re.split(r"(?<=[.!?])\s+", text, flags=re.ASCII):
+        if buffer and size + len(sentence) > max_chars:
+            out.append(" ".join(buffer))
+            keep, kept = len(buffer), 0
+            while keep and kept + len(buffer[keep - 1]) <= overlap:
+                keep -= 1
+                kept += len(buffer[keep]) + 1
+            buffer, size = buffer[keep:], kept
+        elif not buffer and len(sentence) > max_chars:
+            out.append(sentence)
+            continue
+        buffer.append(sentence)
+        size += len(sentence) + 1
+    return out + ([" ".join(buffer)] if buffer else [])
+
+
 def token_estimate(text: Column | str) -> Column:
     """Four characters count as a token."""
     return F.floor(F.length(_col(text)) / 4).cast("int")

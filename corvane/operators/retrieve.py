@@ -83,9 +83,13 @@ def exact_match(df: DataFrame, column: str, tokens: list[list[str]], k: int, key
 
 
 def ranked_by_key(df: DataFrame, queries: DataFrame, on: str, rank: Column, key: str, k: int, query: str = "query_id") -> DataFrame:
-    """Per query the first `k` records of its key value, best rank first."""
-    hits = queries.select(query, on).join(df.withColumn("rank", rank), on)
-    return top_k(hits, k, [query], [F.col("rank"), F.col(key)])
+    """Per query the first `k` records of its key value, best rank first.
+
+    The first `k` of every key value are found once, with a limit before the shuffle, whatever the number of queries on it; so a
+    value that owns a tenth of all records costs a query no more than any other.
+    """
+    first = top_k(df.withColumn("rank", rank), k, [on], [F.col("rank"), F.col(key)])
+    return queries.select(query, on).join(first, on)
 
 
 def vector_top_k(corpus: DataFrame, key: str, vec: str, queries: DataFrame, query: str, qvec: str, k: int, threshold: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
@@ -126,7 +130,7 @@ def vector_top_k(corpus: DataFrame, key: str, vec: str, queries: DataFrame, quer
         part = rows.mapInPandas(score, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema + ", place int")
     return top_k(out, k, [query], [F.col("similarity").desc(), F.col(key)])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.parse import hgvs_forms
+from corvane.functions.parse import VARIANT_NOTATION, hgvs_forms
 from corvane.session import cut_lineage
 
 # How tokens of the three kinds start, in lower case.
@@ -27,9 +27,12 @@ def exact_hits(questions: DataFrame, records: DataFrame, name: str = "name", gen
     # A token has one or two forms. They are plain columns: a lambda over both sides of a join would not be bound rightly.
     asked = asked.withColumn("_forms", hgvs_forms("_c")).withColumns({"_f0": F.lower(F.get("_forms", F.lit(0))), "_f1": F.lower(F.get("_forms", F.lit(1)))})
     low = F.lower(F.col(name))
-    with_c = F.col("_c").isNull() | low.contains(F.col("_f0")) | F.coalesce(low.contains(F.col("_f1")), F.lit(False))
-    with_p = F.col("_p").isNull() | low.contains(F.lower("_p"))
-    with_rs = F.col("_rs").isNull() | low.contains(F.col("_rs"))
+    # As in the pattern language, an underscore in a token stands for any character.
+    held = lambda form: F.coalesce(F.like(low, F.concat(F.lit("%"), F.col(form), F.lit("%"))), F.lit(False))
+    asked = asked.withColumn("_lp", F.lower("_p"))
+    with_c = F.col("_c").isNull() | held("_f0") | held("_f1")
+    with_p = F.col("_p").isNull() | held("_lp")
+    with_rs = F.col("_rs").isNull() | held("_rs")
     # Where a name holds the token, it holds the token's letters and number, and maybe further digits.
     starts = F.concat(*[F.regexp_extract_all(low, F.lit(x), F.lit(0)) for x in _STARTS])
     named = records.select(key, name, F.col(gene).alias("_g"), F.explode(F.array_distinct(starts)).alias("_s"))
@@ -42,9 +45,9 @@ def exact_hits(questions: DataFrame, records: DataFrame, name: str = "name", gen
 
 
 def tiers(questions: DataFrame, exact: DataFrame, records: DataFrame | None = None, gene: str = "gene") -> DataFrame:
-    """(text, tier, n_exact): 'exact' if there are records, 'gene' for a gene without variant token, 'none' for neither, else 'hybrid'.
+    """(text, tier, n_exact): 'exact' if there are records, 'gene' for a gene without variant token, else 'hybrid'.
 
-    With `records`, a question whose first gene has none is left to 'hybrid', as the tier 'gene' would find nothing.
+    A question that names no gene and holds no position in variant notation is not searched for: 'none'. With `records`, a question whose first gene has none is left to 'hybrid', as the tier 'gene' would find nothing.
     """
     known = F.lit(True)
     if records is not None:
@@ -53,12 +56,8 @@ def tiers(questions: DataFrame, exact: DataFrame, records: DataFrame | None = No
         known = F.coalesce("_known", F.lit(False))
     found = exact.groupBy("text").agg(F.count("*").alias("n_exact"))
     token = F.coalesce(F.col("tok")["has_variant_token"], F.lit(False))
-    tier = (
-        F.when(F.col("n_exact") > 0, "exact")
-        .when(~token & (F.size("genes") > 0) & known, "gene")
-        .when(token | (F.size("genes") > 0), "hybrid")
-        .otherwise("none")
-    )
+    searched = (F.size("genes") > 0) | F.col("text").rlike(VARIANT_NOTATION)
+    tier = F.when(~searched, "none").when(F.col("n_exact") > 0, "exact").when(~token & (F.size("genes") > 0) & known, "gene").otherwise("hybrid")
     return questions.join(found, "text", "left").withColumn("n_exact", F.coalesce("n_exact", F.lit(0))).withColumn("tier", tier).drop("_known")
 
 
@@ -74,9 +73,59 @@ def route(questions: DataFrame, records: DataFrame, k: int = 5, text: str = "tex
     exact = cut_lineage(exact_hits(questions, records, key=key))
     sorted_out = cut_lineage(tiers(questions, exact, records))
     of = lambda name: sorted_out.where(F.col("tier") == name)
-    first = top_k(exact, k, [text], [F.col(key)]).select(text, key, F.lit("exact").alias("tier"), "place")
+    found = exact.join(of("exact").select("text"), "text", "left_semi")
+    first = top_k(found, k, [text], [F.col(key)]).select(text, key, F.lit("exact").alias("tier"), "place")
     genes = of("gene").select(text, F.get("genes", F.lit(0)).alias("gene"))
     ranked = ranked_by_key(records, genes, "gene", review_rank("review_status"), key, k, query=text).select(text, key, F.lit("gene").alias("tier"), "place")
     open_ = of("hybrid").select(F.col(text).alias("query_id"), F.col(text).alias("text"), F.col(qvec).alias("qvec"))
     blended = hybrid(records, key, "embedding", ["name", "document"], open_, k=k).select(F.col("query_id").alias(text), key, F.lit("hybrid").alias("tier"), "place")
     return first.unionByName(ranked).unionByName(blended)
+
+
+def article_top_k(chunks: DataFrame, questions: DataFrame, k: int = 5, threshold: float = 0.6, types: list[str] | None = None, include_retired: bool = False, text: str = "text", qvec: str = "qvec", genes: str = "genes", key: str = "id", vec: str = "embedding") -> DataFrame:
+    """(text, key, similarity, place): per question the `k` chunks of greatest cosine over `threshold`, in one plan.
+
+    A question that names genes sees only chunks on one of them: they meet by an equi-join on the gene, and if there are none, the
+    question has no rows. Any other question sees all chunks. Retired chunks and, with `types`, chunks of other sections take no
+    part. Vectors that are null, of another dimension or of length zero take no part. Ties go to the lesser key.
+    """
+    from corvane.functions.similarity import cosine_similarity
+    from corvane.operators.retrieve import filtered, top_k, vector_top_k
+
+    rows = filtered(chunks, types=types, include_retired=include_retired).where(F.col(vec).isNotNull())
+    rows = rows.select(key, vec, "gene_symbols").dropDuplicates([key])
+    named = questions.where(F.size(genes) > 0).select(text, qvec, F.explode(F.array_distinct(genes)).alias("_g"))
+    by_gene = rows.select(key, vec, F.explode(F.array_distinct("gene_symbols")).alias("_g"))
+    # A chunk on two of the genes counts once.
+    pairs = named.join(by_gene, "_g").where(F.size(qvec) == F.size(vec)).select(text, key, cosine_similarity(qvec, vec).alias("similarity"))
+    pairs = pairs.where(F.col("similarity") > threshold).distinct()
+    near = top_k(pairs, k, [text], [F.col("similarity").desc(), F.col(key)])
+    free = questions.where(F.coalesce(F.size(genes), F.lit(0)) <= 0)
+    everywhere = vector_top_k(rows, key, vec, free, text, qvec, k, threshold)
+    return near.select(text, key, "similarity", "place").unionByName(everywhere.select(text, key, "similarity", "place"))
+
+
+def route_sources(questions: DataFrame, variants: DataFrame, chunks: DataFrame, entries: DataFrame, abstracts: DataFrame | None = None, k: int = 10, text: str = "text", qvec: str = "qvec", article_floor: float = 0.6, entry_floor: float = 0.3) -> DataFrame:
+    """(text, source, key, tier, place): what every source has on every question; keys are text.
+
+    Questions without a clinical signal get nothing. Variants are asked for questions on a gene or variant, by the best of
+    their tiers; articles always, anchored on the question's genes if it names any; gene table entries where it has a renal term;
+    and of `abstracts` (gene, pmid, rank) the first two on its first gene. `questions` has text, qvec and what
+    `corvane.functions.parse` makes of the text: genes and tok.
+    """
+    from corvane.functions.parse import has_clinical_signal, has_renal_terms
+    from corvane.operators.retrieve import top_k, vector_top_k
+
+    asked = cut_lineage(questions.where(has_clinical_signal(text)))
+    parts = [route(asked, variants, k=k, text=text, qvec=qvec).select(text, F.lit("ClinVar").alias("source"), F.col("variation_id").cast("string").alias("key"), "tier", "place")]
+    on = lambda df, source, key: df.select(text, F.lit(source).alias("source"), F.col(key).cast("string").alias("key"), F.lit(None).cast("string").alias("tier"), "place")
+    parts.append(on(article_top_k(chunks, asked, k, article_floor, text=text, qvec=qvec), "GeneReviews", "id"))
+    renal = asked.where(has_renal_terms(text))
+    parts.append(on(vector_top_k(entries.select("id", "embedding").dropDuplicates(["id"]), "id", "embedding", renal, text, qvec, k, entry_floor), "NephroGenetics", "id"))
+    if abstracts is not None:
+        first = asked.where(F.size("genes") > 0).select(text, F.get("genes", F.lit(0)).alias("gene"))
+        parts.append(on(top_k(first.join(abstracts, "gene"), 2, [text], [F.col("rank"), F.col("pmid")]), "PubMed", "pmid"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -9,7 +9,7 @@ from corvane.functions import parse
 from corvane.functions.similarity import l2_normalise, dot, trigram_distance, trigram_similarity
 from corvane.operators import retrieve as R
 from corvane.plans.registry import Registry
-from corvane.session import table
+from corvane.session import cut_lineage, table
 
 registry = Registry()
 
@@ -75,7 +75,8 @@ def _hybrid_sql(pool: int, floor: float, k: int, single: bool) -> str:
 
 
 def _hybrid(spark, sf_dir, single, k=5, **kw):
-    cur = current_variants(spark, sf_dir)
+    # Written once: the questions and both legs read it.
+    cur = cut_lineage(current_variants(spark, sf_dir).select("id", "variation_id", "name", "document", "embedding"))
     out = R.hybrid(cur, "variation_id", "embedding", ["name", "document"], question_rows(cur, single), k=k, **kw)
     return out.select("query_id", "variation_id", F.round("score", 6).alias("score"), "place")
 
@@ -108,7 +109,7 @@ def _semantic_sql(k: int, threshold: str, single: bool) -> str:
 
 
 def _semantic(spark, sf_dir, k, threshold=None, single=False):
-    cur = current_variants(spark, sf_dir)
+    cur = cut_lineage(current_variants(spark, sf_dir).select("id", "variation_id", "name", "embedding"))
     out = R.vector_top_k(cur, "variation_id", "embedding", question_rows(cur, single), "query_id", "qvec", k, threshold)
     return out.select("query_id", "variation_id", F.round("similarity", 6).alias("similarity"), "place")
 
@@ -223,89 +224,117 @@ def q_filtered_semantic(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ routing
-_TYPE_SQL_TERMS = " OR ".join(f"contains(lower(text), '{t}')" for t in (*parse.CLINICAL_TERMS, *parse.RENAL_TERMS))
-
-
-def every_question(spark, sf_dir, ascii_only=False):
+def every_question(spark, sf_dir):
     """Every distinct question of the log, with what is parsed from it."""
-    logs = table(spark, sf_dir, "audit_logs").select(F.col("query_text").alias("text")).where("text IS NOT NULL")
-    logs = (logs.where(F.col("text").rlike(r"^[\x00-\x7f]*$")) if ascii_only else logs).distinct()
+    logs = table(spark, sf_dir, "audit_logs").select(F.col("query_text").alias("text")).where("text IS NOT NULL").distinct()
     parsed = logs.withColumn("genes", parse.gene_symbols("text")).withColumn("tok", parse.variant_tokens("text"))
     return parsed.withColumn("query_type", parse.query_type("text"))
 
 
-def asked_questions(spark, sf_dir):
-    """The questions of ASCII characters only: DuckDB's word boundaries agree on no others."""
-    return every_question(spark, sf_dir, ascii_only=True)
-
-
+# Word boundaries of the SQL engine know ASCII only. Letters and digits of other scripts become an underscore first, which is part of a
+# word but of no gene; other characters become a hyphen, spaces a space.
+_PLAIN_SQL = (
+    "regexp_replace(regexp_replace(regexp_replace(text, '[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}]', ' ', 'g'), "
+    "'[^\\p{L}\\p{N}\\x00-\\x7f]', '-', 'g'), '[^\\x00-\\x7f]', '_', 'g')"
+)
+_STOP_SQL = "'THE','AND','FOR','ARE','BUT','NOT','YOU','ALL','CAN','HER','WAS','ONE','OUR','OUT','HAS','HIS','HOW','ITS','MAY','NEW','NOW','OLD','SEE','WAY','WHO','DID','GET','HIM','LET','SAY','SHE','TOO','USE','DNA','RNA','VUS','WHAT','WHICH','WITH','FROM','HAVE','THIS','THAT','THEY','BEEN','RISK','TYPE','GENE','DOES','MOST','RARE','ALSO','MORE','THAN','INTO','SOME'"
 _GENES_SQL = (
-    "list_filter(list_distinct(list_concat(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{1,9})\\b', 1), list_transform(regexp_extract_all(text, "
+    "list_filter(list_distinct(list_concat(regexp_extract_all(plain, '\\b([A-Z][A-Z0-9]{1,9})\\b', 1), list_transform(regexp_extract_all(plain, "
     "'(?i)\\b(?:(?:gene|variant|mutation|allele)s?\\s+(?:in\\s+|of\\s+)?[A-Za-z][A-Za-z0-9]{1,9}|[A-Za-z][A-Za-z0-9]{1,9}\\s+gene)\\b'), lambda m: upper("
     "CASE WHEN regexp_matches(m, '(?i)^(?:gene|variant|mutation|allele)s?\\s') THEN regexp_extract(m, '(?i)^(?:gene|variant|mutation|allele)s?\\s+(?:in\\s+|of\\s+)?([A-Za-z][A-Za-z0-9]{1,9})$', 1) "
     "ELSE regexp_extract(m, '(?i)^([A-Za-z][A-Za-z0-9]{1,9})\\s+gene$', 1) END)))), lambda g: length(g) >= 2 AND NOT list_contains(["
-    + ", ".join(f"'{w}'" for w in parse.NOT_GENES)
+    + _STOP_SQL
     + "], g))"
 )
-_ASKED_SQL = f"(SELECT DISTINCT query_text AS text FROM audit_logs WHERE regexp_matches(query_text, '^[\\x00-\\x7f]*$'))"
+_FIRST_GENE_SQL = _GENES_SQL.replace("list_distinct(list_concat(", "(list_concat(", 1) + "[1]"
+_ASKED_SQL = f"(SELECT *, {_PLAIN_SQL} AS plain FROM (SELECT DISTINCT query_text AS text FROM audit_logs WHERE query_text IS NOT NULL))"
+_SIGNAL_SQL = (
+    "regexp_matches(lower(text), 'gene|variant|mutation|allele|phenotype|syndrome|disease|disorder|inherit|heredit|pathogen|benign|clinvar|omim|acmg|vus|genotype|carrier|homozyg|heterozyg|autosomal|x-linked|recessive|"
+    "dominant|diagnos|screen|panel|exome|genome|sequenc|kidney|renal|nephro|nephrotic|nephritic|glomerul|tubul|polycystic|pkd|alport|fabry|iga nephropathy|fsgs|cakut|ckd|dialysis|transplant')"
+)
+_HGVS_SQL = "regexp_matches(plain, '\\b[cpgmn]\\.[0-9]')"
 
 
 @registry.query("q_gene_symbols", sql=f"SELECT text, coalesce(array_to_string(list_sort({_GENES_SQL}), ','), '') AS genes FROM {_ASKED_SQL}")
 def q_gene_symbols(spark, sf_dir):
-    return asked_questions(spark, sf_dir).select("text", F.array_join(F.sort_array("genes"), ",").alias("genes"))
+    return every_question(spark, sf_dir).select("text", F.array_join(F.sort_array("genes"), ",").alias("genes"))
 
 
 @registry.query(
     "q_classify",
-    sql=f"""WITH g AS (SELECT text, len({_GENES_SQL}) > 0 AS has_gene, regexp_matches(text, '\\b[cpgmn]\\.[0-9]') AS hgvs,
-           regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9])(?:c\\.\\s*[0-9]|p\\.\\(?[A-Z][a-z]{{0,2}}[0-9])') OR regexp_matches(text, '(?i)\\brs[0-9]+\\b') AS tok FROM {_ASKED_SQL})
-    SELECT CASE WHEN NOT (hgvs OR has_gene OR {_TYPE_SQL_TERMS}) THEN 'non-clinical' WHEN has_gene OR tok THEN 'variant' ELSE 'phenotype' END AS query_type,
-           count(*) AS n FROM g GROUP BY 1""",
+    sql=f"""WITH g AS (SELECT text, len({_GENES_SQL}) > 0 OR {_HGVS_SQL} AS specific FROM {_ASKED_SQL})
+    SELECT CASE WHEN specific THEN 'variant' WHEN {_SIGNAL_SQL} THEN 'phenotype' ELSE 'non-clinical' END AS query_type, count(*) AS n FROM g GROUP BY 1""",
 )
 def q_classify(spark, sf_dir):
-    return asked_questions(spark, sf_dir).groupBy("query_type").agg(F.count("*").alias("n"))
-
-
-@registry.query("q_gene_symbols_all")
-def q_gene_symbols_all(spark, sf_dir):
-    """As q_gene_symbols, for every distinct question of any script."""
-    return every_question(spark, sf_dir).select("text", F.array_join(F.sort_array("genes"), ",").alias("genes"))
-
-
-@registry.query("q_classify_all")
-def q_classify_all(spark, sf_dir):
-    """As q_classify, over every distinct question of any script."""
     return every_question(spark, sf_dir).groupBy("query_type").agg(F.count("*").alias("n"))
 
 
 @registry.query(
     "q_route_tiers",
     sql=f"""WITH cur AS ({CURRENT}),
-    q AS (SELECT text, list_filter({_GENES_SQL}, lambda g: true) AS genes,
-                 nullif(regexp_extract(text, '(?:^|[^A-Za-z0-9])(c\\.[0-9][0-9_+\\-]*(?:[ACGT]+)?(?:>[ACGT]+|del[ACGT]*|dup[ACGT]*|ins[ACGT]+)?)', 1), '') AS c,
-                 nullif(regexp_extract(text, '(?:^|[^A-Za-z0-9])(p\\.[A-Z][a-z]{{2}}[0-9]+(?:[A-Z][a-z]{{2}})?)', 1), '') AS p,
-                 nullif(lower(regexp_extract(text, '(?i)\\b(rs[0-9]+)\\b', 1)), '') AS rs,
-                 nullif(regexp_extract(text, '\\bin ([JQWX][A-Z]{{2,5}}[0-9])\\b', 1), '') AS g
-          FROM {_ASKED_SQL} WHERE regexp_matches(text, '^Is [^ ]+ in [^ ]+ pathogenic\\?$')),
-    e AS (SELECT text, variation_id FROM q JOIN cur ON cur.gene = q.g WHERE (c IS NOT NULL OR p IS NOT NULL OR rs IS NOT NULL)
-            AND (c IS NULL OR contains(lower(name), lower(c)) OR contains(lower(name), lower(regexp_replace(c, '(del|dup)[ACGT]+$', '\\1'))))
-            AND (p IS NULL OR contains(lower(name), lower(p))) AND (rs IS NULL OR contains(lower(name), rs)))
-    SELECT q.text, CASE WHEN n > 0 THEN 'exact' ELSE 'hybrid' END AS tier, coalesce(n, 0) AS n_exact
-    FROM q LEFT JOIN (SELECT text, count(*) AS n FROM e GROUP BY 1) USING (text)""",
+    q AS (SELECT text, {_GENES_SQL} AS genes, {_FIRST_GENE_SQL} AS first_gene, {_HGVS_SQL} AS hgvs, regexp_extract_all(plain, '\\b([A-Z][A-Z0-9]{{1,9}})\\b', 1) AS caps,
+                 regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9])([cgmn]\\.\\s*[0-9][0-9_+\\-*]*(?:[ACGT]+)?(?:(?:>|&gt;)[ACGT]+|del[ACGT]*|dup[ACGT]*|ins[ACGT]+|delins[ACGT]+)?)', 1) AS nt,
+                 nullif(regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9])(p\\.\\(?[A-Z][a-z]{{0,2}}[0-9]+(?:[A-Z][a-z]{{0,2}}|=|\\*|Ter|fs(?:Ter)?[0-9]*|del|dup)?\\)?)', 1), '') AS pt,
+                 nullif(lower(regexp_extract(plain, '(?i)\\b(rs[0-9]+)\\b', 1)), '') AS rs FROM {_ASKED_SQL}),
+    t AS (SELECT text, genes, first_gene, hgvs, list_filter(caps, lambda x: NOT list_contains([{_STOP_SQL}], x))[1] AS g, rs, lower(regexp_replace(pt, '[\\s()]', '', 'g')) AS p,
+                 CASE WHEN lower(nt[1]) = 'c' THEN lower(replace(regexp_replace(nt, '\\s', '', 'g'), '&gt;', '>')) END AS c FROM q),
+    f AS (SELECT *, regexp_replace(c, '([^a-z])(del|dup)[acgt]+$', '\\1\\2') AS d FROM t),
+    e AS (SELECT text, variation_id FROM f JOIN cur ON (g IS NULL OR cur.gene = g) AND (c IS NOT NULL OR p IS NOT NULL OR rs IS NOT NULL)
+            AND (c IS NULL OR name ILIKE '%' || c || '%' OR name ILIKE '%' || d || '%') AND (p IS NULL OR name ILIKE '%' || p || '%') AND (rs IS NULL OR name ILIKE '%' || rs || '%')),
+    n AS (SELECT text, count(DISTINCT variation_id) AS n FROM e GROUP BY 1)
+    SELECT text, coalesce(n, 0) AS n_exact, CASE WHEN NOT (len(genes) > 0 OR hgvs) THEN 'none' WHEN n > 0 THEN 'exact'
+      WHEN c IS NULL AND p IS NULL AND rs IS NULL AND first_gene IN (SELECT gene FROM cur) THEN 'gene' ELSE 'hybrid' END AS tier
+    FROM f LEFT JOIN n USING (text)""",
 )
 def q_route_tiers(spark, sf_dir):
-    """Which tier answers each question on one variant: exact records of its gene, else the blended search."""
+    """Which tier answers each distinct question of the log, whatever its form and script."""
     from corvane.operators.route import exact_hits, tiers
 
-    asked = asked_questions(spark, sf_dir).where(F.col("text").rlike(r"^Is [^ ]+ in [^ ]+ pathogenic\?$"))
-    cur = current_variants(spark, sf_dir)
-    return tiers(asked, exact_hits(asked, cur)).select("text", "tier", "n_exact")
+    asked = every_question(spark, sf_dir)
+    cur = cut_lineage(current_variants(spark, sf_dir).select("variation_id", "name", "gene"))
+    return tiers(asked, exact_hits(asked, cur), cur).select("text", "tier", "n_exact")
+
 
+def asked_with_vectors(spark, sf_dir):
+    """The stated questions, those of rows with an id divisible by 100, each with the vector of the variant row of that id."""
+    logs = table(spark, sf_dir, "audit_logs").where((F.col("id") % 100 == 0) & F.col("query_text").isNotNull()).groupBy("id").agg(F.min("query_text").alias("text"))
+    vectors = table(spark, sf_dir, "variants").where("embedding IS NOT NULL").groupBy("id").agg(F.min("embedding").alias("qvec"))
+    asked = logs.join(vectors, "id").groupBy("text").agg(F.min_by("qvec", "id").alias("qvec"))
+    return asked.withColumn("genes", parse.gene_symbols("text")).withColumn("tok", parse.variant_tokens("text"))
 
-@registry.query("q_route_all")
-def q_route_all(spark, sf_dir):
-    """Which tier answers each distinct question of the log, whatever its form and script."""
-    from corvane.operators.route import exact_hits, tiers
 
-    asked, cur = every_question(spark, sf_dir), current_variants(spark, sf_dir)
-    return tiers(asked, exact_hits(asked, cur), cur).select("text", "tier", "n_exact")
+def chunks_with_vectors(spark, sf_dir):
+    """The chunks, which have no vectors of their own, each with that of the variant row of its id."""
+    chunks = table(spark, sf_dir, "genereviews_chunks").groupBy("id").agg(F.min("gene_symbols").alias("gene_symbols"), F.min("section_type").alias("section_type"), F.max("retired").alias("retired"))
+    vectors = table(spark, sf_dir, "variants").where("embedding IS NOT NULL").groupBy("id").agg(F.min("embedding").alias("embedding"))
+    return chunks.join(vectors, "id")
+
+
+_VECTORS_SQL = f"""v AS (SELECT id, min(embedding) AS e FROM variants WHERE embedding IS NOT NULL GROUP BY 1),
+    a AS (SELECT text, arg_min(e, id) AS qvec FROM (SELECT id, min(query_text) AS text FROM audit_logs WHERE id % 100 = 0 AND query_text IS NOT NULL GROUP BY 1) JOIN v USING (id) GROUP BY 1),
+    q AS (SELECT text, qvec, {_GENES_SQL} AS genes, {_HGVS_SQL} AS hgvs FROM (SELECT *, {_PLAIN_SQL} AS plain FROM a)),
+    c AS (SELECT id, min(gene_symbols) AS gs, min(section_type) AS st, bool_or(retired) AS retired FROM genereviews_chunks GROUP BY 1)"""
+
+
+@registry.query(
+    "q_article_topk",
+    sql=f"""WITH {_VECTORS_SQL},
+    s AS (SELECT text, id, {cosine_sql('qvec', 'e')} AS x FROM q, (SELECT * FROM c JOIN v USING (id) WHERE NOT retired) k
+          WHERE (len(genes) = 0 OR list_has_any(gs, genes)) AND {unit_sql('qvec')} AND {unit_sql('e')})
+    SELECT text, id, round(x, 6) AS similarity, row_number() OVER (PARTITION BY text ORDER BY round(x, 12) DESC, id) AS place FROM s WHERE x > 0.1 QUALIFY place <= 5""",
+)
+def q_article_topk(spark, sf_dir):
+    """Filters, threshold and first k on chunks in one plan, anchored on the genes of a question that names any."""
+    from corvane.operators.route import article_top_k
+
+    near = article_top_k(cut_lineage(chunks_with_vectors(spark, sf_dir)), cut_lineage(asked_with_vectors(spark, sf_dir)), threshold=0.1)
+    return near.select("text", "id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@registry.query("q_route")
+def q_route(spark, sf_dir):
+    """What the variants, the articles and the gene table have on each stated question."""
+    from corvane.operators.route import route_sources
+
+    cur = cut_lineage(current_variants(spark, sf_dir).select("variation_id", "name", "gene", "document", "review_status", "embedding"))
+    return route_sources(asked_with_vectors(spark, sf_dir), cur, cut_lineage(chunks_with_vectors(spark, sf_dir)), table(spark, sf_dir, "nephrogenetics"), article_floor=0.1)

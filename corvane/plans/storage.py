@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +9,8 @@ from pyspark.sql import types as T
 from corvane.operators import aggregate
 from corvane.operators.retrieve import min_max
 from corvane.plans.registry import Registry
-from corvane.plans.retrieval import current_variants, question_rows
-from corvane.session import table
+from corvane.plans.retrieval import CURRENT, cosine_sql, current_variants, question_rows, unit_sql
+from corvane.session import cut_lineage, table
 from corvane.sources import articles, store
 from corvane.sources.tables import fold_metadata
 from corvane.streaming import filters, sessions
@@ -99,13 +97,22 @@ def q_minmax_norm(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", F.round(min_max("q", ["l_orderkey"]), 6).alias("scaled"))
 
 
-@registry.query("q_audit_rows")
+@registry.query(
+    "q_audit_rows",
+    sql=f"""WITH cur AS ({CURRENT}), u AS (SELECT * FROM cur WHERE embedding IS NOT NULL AND {unit_sql('embedding')}),
+    s AS (SELECT q.id AS query_id, c.variation_id, {cosine_sql('q.embedding', 'c.embedding')} AS x FROM u q, u c WHERE q.id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 12) DESC, variation_id) AS place FROM s QUALIFY place <= 5)
+    SELECT query_id, list(variation_id ORDER BY place) AS retrieved_variant_ids, list(round(x, 4) ORDER BY place) AS scores, 'spark' AS model_version FROM r GROUP BY 1""",
+)
 def q_audit_rows(spark, sf_dir):
+    """Rows of the log for the stated questions; the scores are read back from their JSON."""
     from corvane.operators.retrieve import vector_top_k
 
-    cur = current_variants(spark, sf_dir)
+    cur = cut_lineage(current_variants(spark, sf_dir).select("id", "variation_id", "name", "embedding"))
     best = vector_top_k(cur, "variation_id", "embedding", question_rows(cur), "query_id", "qvec", 5)
-    return store.audit_rows(best)
+    rows = store.audit_rows(best)
+    parsed = F.from_json("retrieval_scores", "array<struct<id:int,score:double,rank:int>>")
+    return rows.select("query_id", "retrieved_variant_ids", F.transform(parsed, lambda x: x["score"]).alias("scores"), "model_version")
 
 
 _SESSIONS_SQL = "SELECT session_id, count(*) AS query_count, min(created_at) AS first_query_at, max(created_at) AS last_query_at FROM audit_logs GROUP BY 1"
@@ -119,10 +126,8 @@ def q_sessions(spark, sf_dir):
 @registry.query("q_stream_sessions", sql=_SESSIONS_SQL)
 def q_stream_sessions(spark, sf_dir):
     """The same counters, kept by a stream over the log."""
-    name = f"sessions_{uuid.uuid4().hex}"
     stream = sessions.session_counts(sessions.stream_of(spark, f"{sf_dir}/audit_logs.parquet"))
-    sessions.run_to_table(stream, name, store.temporary_folder(spark, name))
-    return spark.table(name)
+    return sessions.run_to_folder(stream, store.temporary_folder(spark, "sessions"), store.temporary_folder(spark, "state"))
 
 
 @registry.query(
@@ -131,10 +136,9 @@ def q_stream_sessions(spark, sf_dir):
 )
 def q_stream_windows(spark, sf_dir):
     """Rows per day of event time, by a stream with a watermark."""
-    name = f"windows_{uuid.uuid4().hex}"
     stream = sessions.windowed_counts(sessions.stream_of(spark, f"{sf_dir}/audit_logs.parquet"), length="1 day")
-    sessions.run_to_table(stream, name, store.temporary_folder(spark, name))
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+    out = sessions.run_to_folder(stream, store.temporary_folder(spark, "windows"), store.temporary_folder(spark, "state"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @registry.query("q_stream_think", sql=r"SELECT id, regexp_replace(response_text, '(?s)<think>.*?</think>', '', 'g') AS shown FROM (SELECT DISTINCT id, response_text FROM audit_logs) WHERE response_text <> ''")
@@ -145,10 +149,9 @@ def q_stream_think(spark, sf_dir):
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("response_text") - 1) / 7).cast("int")), lambda i: F.substring("response_text", i * 7 + 1, F.lit(7)))
     chunks = said.select(F.col("id").alias("stream_id"), F.size(parts).alias("_n"), F.posexplode(parts).alias("seq", "chunk"))
     chunks.select("stream_id", "seq", "chunk", (F.col("seq") == F.col("_n") - 1).alias("is_last")).write.parquet(folder)
-    name = f"think_{uuid.uuid4().hex}"
-    sessions.run_to_table(filters.hide_reasoning(sessions.stream_of(spark, folder)), name, store.temporary_folder(spark, name), mode="append")
+    out = sessions.run_to_folder(filters.hide_reasoning(sessions.stream_of(spark, folder)), store.temporary_folder(spark, "think"), store.temporary_folder(spark, "state"), mode="append")
     shown = F.array_sort(F.collect_list(F.struct("seq", "shown")))
-    return spark.table(name).groupBy(F.col("stream_id").alias("id")).agg(F.array_join(F.transform(shown, lambda x: x["shown"]), "").alias("shown"))
+    return out.groupBy(F.col("stream_id").alias("id")).agg(F.array_join(F.transform(shown, lambda x: x["shown"]), "").alias("shown"))
 
 
 @registry.query(

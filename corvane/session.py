@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,11 +69,17 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+_SHUFFLES = re.compile(r"\b(?:Aggregate|Join|Window|Sort|RepartitionByExpression|Repartition|Deduplicate|Distinct)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as there are cores.
 
     A small file is one partition, which would leave all work in Python on its rows to one core. Larger inputs have more
-    partitions than cores and stay as they are.
+    partitions than cores and stay as they are. Only what is read as it lies is looked at: what has been shuffled is split
+    already, and asking for its partitions would run the shuffle.
     """
+    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -19,10 +19,14 @@ def read_variant_summary(spark: SparkSession, path: str, limit: int | None = Non
     """Typed variants of a (gzipped) tab-separated summary, with the document that is searched.
 
     Rows of another assembly, of another significance (by part, in the case written, unless `all_significance`), without an
-    integer id, without gene ("-" is none) or without name are left out. `limit` counts rows that are kept. Fields in quotes
-    may hold tabs and line breaks. A gzipped file is one partition and is spread after reading.
+    integer id, without gene ("-" is none) or without name are left out. `limit` keeps the first rows in the order of the file.
+    Fields in quotes may hold tabs and line breaks, so a file is read by one task, gzipped or not; its rows are spread over all
+    cores before anything is done with them.
     """
     raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True).select(*SUMMARY_COLUMNS)
+    if limit is not None:
+        raw = raw.withColumn("_at", F.monotonically_increasing_id())
+    raw = raw.repartition(spark.sparkContext.defaultParallelism)
     gene, name = F.trim("GeneSymbol"), F.trim("Name")
     keep = (F.col("Assembly") == assembly) & gene.isNotNull() & ~gene.isin("", "-") & (F.coalesce(name, F.lit("")) != "")
     if not all_significance:
@@ -39,10 +43,11 @@ def read_variant_summary(spark: SparkSession, path: str, limit: int | None = Non
         F.coalesce("ClinicalSignificance", F.lit("")).alias("clinical_significance"),
         F.coalesce("ReviewStatus", F.lit("")).alias("review_status"),
         phenotype_list(F.coalesce("PhenotypeList", F.lit(""))).alias("phenotypes"),
+        *([F.col("_at")] if limit is not None else []),
     )
     rows = rows.where("variation_id IS NOT NULL")
     rows = rows.withColumn("document", variant_document("gene", "name", "clinical_significance", "review_status", "phenotypes"))
-    return rows.limit(limit) if limit is not None else rows
+    return rows.orderBy("_at").limit(limit).drop("_at") if limit is not None else rows
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

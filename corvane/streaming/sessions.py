@@ -33,11 +33,17 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 64) -> Data
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Run a stream over all that is there, into a table in memory; for reports and tests."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+def run_to_folder(df: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there and read what it left in `folder`; nothing passes through the driver.
+
+    In mode 'append' rows are added as they come; in mode 'complete' every batch replaces what the one before wrote.
+    """
+    if mode == "append":
+        append_stream(df, folder, checkpoint).awaitTermination()
+    else:
+        each = lambda rows, _: rows.write.mode("overwrite").parquet(folder)
+        df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -36,8 +36,7 @@ def kind(text):
     low, gene = text.lower(), bool(genes(text))
     if not (re.search(r"\b[cpgmn]\.[0-9]", text) or gene or any(t in low for t in (*parse.CLINICAL_TERMS, *parse.RENAL_TERMS))):
         return "non-clinical"
-    token = re.search(r"(?i)(?<![A-Za-z0-9])(?:c\.\s*[0-9]|p\.\(?[A-Z][a-z]{0,2}[0-9])|\brs[0-9]+\b", text)
-    return "variant" if gene or token else "phenotype"
+    return "variant" if gene or re.search(r"\b[cpgmn]\.[0-9]", text) else "phenotype"
 
 
 @pytest.fixture(scope="module")
@@ -48,11 +47,11 @@ def logs(spark, tmp_path_factory):
 
 
 def test_gene_symbols_of_any_script(spark, logs):
-    assert rows(Q.q_gene_symbols_all(spark, logs)) == sorted((x, ",".join(genes(x))) for x in ASKED)
+    assert rows(Q.q_gene_symbols(spark, logs)) == sorted((x, ",".join(genes(x))) for x in ASKED)
 
 
 def test_classes_of_any_script(spark, logs):
-    assert dict(rows(Q.q_classify_all(spark, logs))) == Counter(map(kind, ASKED))
+    assert dict(rows(Q.q_classify(spark, logs))) == Counter(map(kind, ASKED))
     assert [r[0] for r in rows(Q.every_question(spark, logs).select("text"))] == sorted(ASKED)
 
 
@@ -67,6 +66,8 @@ def brute(text):
     tokens = [m.group().lower() for m in tokens if m]
     held = [i for i, (g, n) in enumerate(NAMES) if tokens and n and (not found or g == found[0]) and all(t in n.lower() or re.sub("(del|dup)[acgt]+$", r"\1", t) in n.lower() for t in tokens)]
     known = found and text.split()[0] in {g for g, _ in NAMES}
+    if not (found or re.search(r"\b[cpgmn]\.[0-9]", text)):
+        return "none", held
     return "exact" if held else "gene" if known and not tokens else "hybrid" if tokens or found else "none", held
 
 

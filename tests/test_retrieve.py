@@ -62,3 +62,36 @@ def test_overlap_filter(spark):
     df = spark.createDataFrame([(1, ["A"], "x", False), (2, None, "x", False), (3, ["A"], "y", True), (4, ["B"], "x", False)], "id int, gene_symbols array<string>, section_type string, retired boolean")
     assert [r[0] for r in R.filtered(df, ["A"]).collect()] == [1]
     assert [r[0] for r in R.filtered(df, ["A"], include_retired=True).collect()] == [1, 3]
+
+
+def test_sources_of_a_question(spark, corpus):
+    from corvane.operators.route import article_top_k, route_sources
+
+    vec = lambda i: [float(x) for x in np.random.default_rng(i).standard_normal(8)]
+    chunks = spark.createDataFrame(
+        [(i, [f"GENE{i % 3}", "GENE1"] if i % 4 else ["GENE2"], "x" if i % 2 else "y", i % 7 == 0, vec(100 + i)) for i in range(60)] + [(60, ["GENE1"], "x", False, None), (61, None, "x", False, vec(5)), (62, ["GENE1"], "x", False, [0.0] * 8), (1, ["GENE1"], "x", False, vec(101))],
+        "id int, gene_symbols array<string>, section_type string, retired boolean, embedding array<float>",
+    )
+    entries = spark.createDataFrame([(i, vec(200 + i)) for i in range(20)] + [(3, vec(203)), (30, None)], "id int, embedding array<float>")
+    abstracts = spark.createDataFrame([("GENE1", i, 9 - i) for i in range(4)], "gene string, pmid int, rank int")
+    asked = ["variants of GENE1 and GENE2", "renal disease of childhood", "GENE9 in the kidney", "hello there", "rs789 in this syndrome"]
+    q = spark.createDataFrame([(a, vec(i)) for i, a in enumerate(asked)], "text string, qvec array<float>").withColumn("genes", parse.gene_symbols("text")).withColumn("tok", parse.variant_tokens("text"))
+
+    def nearest(rows_, v, k, floor):
+        unit = lambda x: np.array(x) / (np.linalg.norm(x) or 1)
+        scored = sorted({(-float(unit(v) @ unit(x)), i) for i, x in rows_ if x is not None and np.linalg.norm(x)})
+        return [i for s, i in scored if -s > floor][:k]
+
+    data = chunks.collect()
+    named = lambda genes: [(r["id"], r["embedding"]) for r in data if not r["retired"] and (not genes or set(genes) & set(r["gene_symbols"] or []))]
+    out: dict = {}
+    for r in route_sources(q, corpus, chunks, entries, abstracts, k=3, article_floor=0.1, entry_floor=0.0).orderBy("text", "source", "place").collect():
+        out.setdefault((r["text"], r["source"]), []).append(int(r["key"]))
+    for i, (a, genes) in enumerate(zip(asked, (["GENE1", "GENE2"], [], ["GENE9"], None, []))):
+        want = nearest(named(genes), vec(i), 3, 0.1) if genes is not None else []
+        assert out.get((a, "GeneReviews"), []) == want, a
+        assert out.get((a, "NephroGenetics"), []) == (nearest([tuple(r) for r in entries.collect()], vec(i), 3, 0.0) if i in (1, 2) else [])
+        assert (out.get((a, "ClinVar")) is not None) == (i == 0)
+    assert out[asked[0], "PubMed"] == [3, 2] and not any(a == "hello there" for a, _ in out)
+    only = article_top_k(chunks, q, 3, 0.1, types=["y"]).join(chunks, "id")
+    assert only.where("section_type <> 'y' OR retired").count() == 0 and only.count() > 0

@@ -30,8 +30,8 @@ def test_state_is_kept_between_batches(spark, tmp_path):
         spark.createDataFrame(p, "stream_id int, seq int, chunk string, is_last boolean").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
     schema = spark.read.parquet(str(tmp_path / "in" / "b0")).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    sessions.run_to_table(filters.hide_reasoning(stream), "shown_t", str(tmp_path / "cp"), mode="append")
-    got = spark.table("shown_t").groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "shown"))), lambda x: x["shown"]), "").alias("t"))
+    shown = sessions.run_to_folder(filters.hide_reasoning(stream), str(tmp_path / "shown"), str(tmp_path / "cp"), mode="append")
+    got = shown.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "shown"))), lambda x: x["shown"]), "").alias("t"))
     assert dict(rows(got)) == {1: "a b<", 2: "x", 3: ""}
 
 
