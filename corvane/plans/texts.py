@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import cite, guard, parse, text
 from corvane.plans.registry import Registry
 from corvane.plans.retrieval import CURRENT, current_variants
-from corvane.session import table
+from corvane.session import cut_lineage, table
 
 registry = Registry()
 
@@ -276,72 +276,83 @@ def q_source_sanitise(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ citations over the log
-def cited_variants(spark, sf_dir):
-    """(query_id, rank, variation_id, title, url, document): the variants that each logged row retrieved, in order."""
-    logs = table(spark, sf_dir, "audit_logs").where("retrieved_variant_ids IS NOT NULL").dropDuplicates(["id"])
-    used = logs.select(F.col("id").alias("query_id"), F.posexplode("retrieved_variant_ids").alias("rank", "variation_id"))
-    v = current_variants(spark, sf_dir).select("variation_id", "gene", "name", "clinical_significance", "document")
-    title = F.concat(F.lit("ClinVar:"), F.col("variation_id").cast("string"), F.lit(" - "), "gene", F.lit(" "), "name", F.lit(", "), "clinical_significance")
-    url = F.concat(F.lit("https://www.ncbi.nlm.nih.gov/clinvar/variation/"), F.col("variation_id").cast("string"), F.lit("/"))
-    return used.join(v, "variation_id").select("query_id", "rank", "variation_id", "gene", title.alias("title"), url.alias("url"), "document")
-
-
-def cited_genes(spark, sf_dir):
-    """The gene table's entries for the genes of the retrieved variants, at the rank of the first variant of the gene."""
-    genes = cited_variants(spark, sf_dir).groupBy("query_id", "gene").agg(F.min("rank").alias("rank"))
-    entries = table(spark, sf_dir, "nephrogenetics").dropDuplicates(["id"]).groupBy(F.col("gene_symbol").alias("gene")).agg(F.min_by(F.struct("title", "omim_phenotype_id"), "id").alias("e"))
-    title = F.concat(F.lit("NephroGenetics: "), "gene", F.lit(" - "), F.coalesce("e.title", F.lit("")))
-    url = F.coalesce(F.concat(F.lit("https://omim.org/entry/"), F.col("e.omim_phenotype_id").cast("string")), F.lit(""))
-    return genes.join(entries, "gene").select("query_id", "rank", title.alias("title"), url.alias("url"))
+def cited_sources(spark, sf_dir):
+    """What each logged row cites: the variants it retrieved, in order; articles and gene table entries on the genes of these, articles
+    by their two first chunks; and the frequency of each variant, which the tables do not hold."""
+    logs = table(spark, sf_dir, "audit_logs").where("retrieved_variant_ids IS NOT NULL").groupBy(F.col("id").alias("query_id")).agg(F.min("retrieved_variant_ids").alias("ids"))
+    used = logs.select("query_id", F.posexplode("ids").alias("rank", "variation_id"))
+    v = current_variants(spark, sf_dir).select("variation_id", "gene", "name", "clinical_significance", "review_status", "phenotypes", "document")
+    # Read by all four sources: written once.
+    variants = cut_lineage(used.join(v, "variation_id"))
+    genes = variants.groupBy("query_id", "gene").agg(F.min("rank").alias("rank"))
+    chunks = table(spark, sf_dir, "genereviews_chunks").where("NOT retired AND chunk_text IS NOT NULL AND section_type = 'management'")
+    first = Window.partitionBy("gene").orderBy("id", "chunk_text")
+    # Of rows that repeat an id the one with the least text counts, and of a chunk on two genes the better place.
+    one = chunks.groupBy("id").agg(F.min(F.struct("chunk_text", "nbk_id", "condition_name", "gene_symbols", "section_path")).alias("x")).select("id", "x.*")
+    per_gene = one.withColumn("gene", F.explode(F.array_distinct("gene_symbols"))).withColumn("c", F.row_number().over(first)).where("c <= 2")
+    met = genes.join(per_gene, "gene").withColumn("rank", F.col("rank") * 10 + F.col("c"))
+    articles = met.groupBy("query_id", "id").agg(F.min(F.struct("rank", *one.columns[1:])).alias("x")).select("query_id", "x.*")
+    fields = ("id", "title", "inheritance", "kidney_manifestations", "extrarenal_manifestations", "omim_phenotype_id")
+    entries = table(spark, sf_dir, "nephrogenetics").groupBy(F.col("gene_symbol").alias("gene")).agg(F.min(F.struct(*fields)).alias("e"))
+    entries = genes.join(entries, "gene").select("query_id", "rank", F.col("gene").alias("gene_symbol"), "e.*")
+    unknown = variants.where("rank = 0").select("query_id", "rank", F.concat(F.lit("v"), "variation_id").alias("variant_id"), F.lit(None).cast("string").alias("allele_frequency"), F.lit(None).cast("string").alias("url"), F.create_map().cast("map<string,string>").alias("populations"))
+    return [cite.variant_source(variants), cite.article_source(articles), cite.entry_source(entries), cite.frequency_source(unknown)]
 
 
 _CITED_SQL = f"""
-WITH logs AS (SELECT id, any_value(retrieved_variant_ids) AS ids FROM audit_logs WHERE retrieved_variant_ids IS NOT NULL GROUP BY id),
+WITH logs AS (SELECT id, min(retrieved_variant_ids) AS ids FROM audit_logs WHERE retrieved_variant_ids IS NOT NULL GROUP BY id),
 used AS (SELECT id AS query_id, unnest(ids) AS variation_id, generate_subscripts(ids, 1) - 1 AS rank FROM logs),
-cv AS (SELECT query_id, rank, variation_id, gene, 'ClinVar:' || variation_id || ' - ' || gene || ' ' || name || ', ' || clinical_significance AS title,
-       'https://www.ncbi.nlm.nih.gov/clinvar/variation/' || variation_id || '/' AS url, document FROM used JOIN ({CURRENT}) USING (variation_id)),
-ng AS (SELECT gene_symbol AS gene, min_by(title, id) AS t, arg_min_null(omim_phenotype_id, id) AS o FROM nephrogenetics GROUP BY 1),
-gn AS (SELECT query_id, rank, 'NephroGenetics: ' || gene || ' - ' || coalesce(t, '') AS title, coalesce('https://omim.org/entry/' || o, '') AS url
-       FROM (SELECT query_id, gene, min(rank) AS rank FROM cv GROUP BY ALL) JOIN ng USING (gene)),
-al AS (SELECT query_id, 0 AS source_rank, rank, title, url FROM cv UNION ALL SELECT query_id, 1, rank, title, url FROM gn),
-nu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_rank, rank, title) AS number FROM al)
+cv AS (SELECT * FROM used JOIN ({CURRENT}) USING (variation_id)),
+ge AS (SELECT query_id, gene, min(rank) AS rank FROM cv GROUP BY ALL),
+pg AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id, chunk_text) AS c FROM (SELECT DISTINCT ON (g, id) *, g FROM (SELECT *, unnest(list_distinct(gene_symbols)) AS g FROM genereviews_chunks
+       WHERE NOT retired AND chunk_text IS NOT NULL AND section_type = 'management') ORDER BY g, id, chunk_text) QUALIFY c <= 2),
+ar AS (SELECT DISTINCT ON (query_id, id) query_id, ge.rank * 10 + c AS rank, id, nbk_id, condition_name, gene_symbols, section_path, chunk_text FROM ge JOIN pg ON g = gene ORDER BY query_id, id, ge.rank * 10 + c),
+en AS (SELECT DISTINCT ON (gene_symbol) * FROM nephrogenetics ORDER BY gene_symbol, id),
+ps AS (
+  SELECT query_id, 0 AS source_rank, rank, variation_id::VARCHAR AS key, 'ClinVar:' || variation_id || ' - ' || gene || ' ' || name || ', ' || coalesce(nullif(clinical_significance, ''), 'Unknown significance') AS title,
+    'https://www.ncbi.nlm.nih.gov/clinvar/variation/' || variation_id || '/' AS url,
+    'ClinVar:' || variation_id || ' - ' || gene || ' ' || name || ' (' || clinical_significance || ', ' || coalesce(review_status, '') || ')' || coalesce(chr(10) || 'Conditions: ' || nullif(array_to_string(phenotypes, '; '), ''), '') || chr(10) || document AS body, NULL AS more FROM cv
+  UNION ALL SELECT query_id, 1, rank, nbk_id, 'GeneReviews: ' || coalesce(condition_name, '') || coalesce(' (' || nullif(array_to_string(gene_symbols, ', '), '') || ')', '') || ' [' || nbk_id || ']',
+    CASE WHEN regexp_full_match(nbk_id, 'NBK[0-9]+') THEN 'https://www.ncbi.nlm.nih.gov/books/' || nbk_id || '/' ELSE 'https://www.ncbi.nlm.nih.gov/books/NBK1116/' END,
+    'GeneReviews: ' || coalesce(condition_name, '') || ' (' || nbk_id || ')' || coalesce(' > ' || nullif(section_path, ''), '') || chr(10) || chunk_text, '(continued)' || coalesce(' > ' || nullif(section_path, ''), '') || chr(10) || chunk_text FROM ar
+  UNION ALL SELECT query_id, 2, ge.rank, en.id::VARCHAR, 'NephroGenetics: ' || gene || ' - ' || coalesce(title, ''), coalesce('https://omim.org/entry/' || omim_phenotype_id, ''),
+    'NephroGenetics: ' || gene || ' - ' || coalesce(title, '') || chr(10) || 'Inheritance: ' || coalesce(inheritance, '') || chr(10) || 'Kidney manifestations: ' || coalesce(kidney_manifestations, '')
+      || coalesce(chr(10) || 'Extrarenal: ' || nullif(extrarenal_manifestations, ''), '') || coalesce(chr(10) || 'OMIM: ' || omim_phenotype_id, ''), NULL FROM ge JOIN en ON gene_symbol = gene
+  UNION ALL SELECT query_id, 3, 0, 'v' || variation_id, 'gnomAD: v' || variation_id || ', AF=N/A', '', 'gnomAD: v' || variation_id || chr(10) || 'Allele frequency: N/A', NULL FROM cv WHERE rank = 0),
+ke AS (SELECT query_id, source_rank, key, min(rank) AS r, arg_min(title, (rank, title)) AS title, arg_min(url, (rank, title)) AS url FROM ps GROUP BY ALL),
+nu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_rank, r, key) AS number FROM ke),
+bl AS (SELECT ps.query_id, number, row_number() OVER (PARTITION BY ps.query_id ORDER BY ps.source_rank, ps.rank, number) AS place,
+         CASE WHEN more IS NOT NULL AND row_number() OVER (PARTITION BY ps.query_id, ps.source_rank, ps.key ORDER BY ps.rank) > 1 THEN more ELSE body END AS body FROM ps JOIN nu USING (query_id, source_rank, key))
 """
 
 
-def numbered(spark, sf_dir):
-    parts = [cited_variants(spark, sf_dir).select("query_id", "rank", "title", "url"), cited_genes(spark, sf_dir)]
-    return cite.number_citations(parts)
-
-
-@registry.query("q_citations", sql=_CITED_SQL.replace("min_by(title, id)", "arg_min_null(title, id)") + "SELECT query_id, number, title, url FROM nu")
+@registry.query("q_citations", sql=_CITED_SQL + "SELECT query_id, number, title, url FROM nu")
 def q_citations(spark, sf_dir):
-    return numbered(spark, sf_dir).select("query_id", "number", "title", "url")
+    return cite.build_citations(cited_sources(spark, sf_dir)).select("query_id", "number", "title", "url")
 
 
-@registry.query(
-    "q_evidence_text",
-    sql=_CITED_SQL.replace("min_by(title, id)", "arg_min_null(title, id)") + "SELECT query_id, string_agg('[' || number || '] ' || title, chr(10) || chr(10) ORDER BY number) AS evidence FROM nu GROUP BY 1",
-)
+@registry.query("q_evidence_text", sql=_CITED_SQL + "SELECT query_id, string_agg('[' || number || '] ' || body, chr(10) || chr(10) ORDER BY place) AS evidence FROM bl GROUP BY 1")
 def q_evidence_text(spark, sf_dir):
-    return cite.evidence_text(numbered(spark, sf_dir), body="title")
+    sources = cited_sources(spark, sf_dir)
+    return cite.evidence_text(cite.evidence_blocks(sources, cite.build_citations(sources)), place="place")
 
 
 @registry.query(
     "q_used_markers",
-    sql=_CITED_SQL.replace("min_by(title, id)", "arg_min_null(title, id)")
+    sql=_CITED_SQL
     + r"""SELECT DISTINCT m.id AS query_id, nu.number, nu.title FROM (SELECT id, unnest(list_transform(regexp_extract_all(response_text, '\[([0-9]{1,9})\]', 1), lambda x: x::INT)) AS n FROM audit_logs) m
     JOIN nu ON nu.query_id = m.id AND nu.number = m.n""",
 )
 def q_used_markers(spark, sf_dir):
     """Citations that an answer's markers point to."""
     said = table(spark, sf_dir, "audit_logs").select(F.col("id").alias("query_id"), F.explode(cite.markers("response_text")).alias("number")).distinct()
-    return numbered(spark, sf_dir).join(said, ["query_id", "number"], "left_semi").select("query_id", "number", "title")
+    return cite.build_citations(cited_sources(spark, sf_dir)).join(said, ["query_id", "number"], "left_semi").select("query_id", "number", "title")
 
 
 @registry.query("q_postprocess")
 def q_postprocess(spark, sf_dir):
     """Answers with linked markers and a list of the sources used."""
-    cites = numbered(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "title", "url"))).alias("c"))
+    cites = cite.build_citations(cited_sources(spark, sf_dir)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "title", "url"))).alias("c"))
     logs = table(spark, sf_dir, "audit_logs").where("response_text IS NOT NULL").select("id", "response_text").distinct()
     joined = logs.join(cites, logs["id"] == cites["query_id"], "left")
     return joined.select("id", cite.postprocess_citations("response_text", "c").alias("answer"))

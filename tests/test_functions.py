@@ -177,3 +177,26 @@ def test_citations(spark):
         "Linked [[2]](u2) [[1]](x) [3]\n\n---\n**References:**\n- [1] [t1](u1)\n- [2] [t2](u2)",
         "No marker [7].", "Bare.", None, "None [1]",
     ]
+
+
+def test_evidence_of_five_sources(spark):
+    variants = spark.createDataFrame([(1, 0, 7, "G", "c.1A>G", "", None, ["X", "Y"], "doc")], "query_id int, rank int, variation_id int, gene string, name string, clinical_significance string, review_status string, phenotypes array<string>, document string")
+    chunks = spark.createDataFrame([(1, 0, "NBK1", "Cond", ["G", "H"], "A > B", "first"), (1, 1, "NBK2", None, [], None, "other"), (1, 2, "NBK1", "Cond", ["G", "H"], "A > C", "second")], "query_id int, rank int, nbk_id string, condition_name string, gene_symbols array<string>, section_path string, chunk_text string")
+    entries = spark.createDataFrame([(1, 0, 3, "G", "T", "AR", "k", "{}", 99), (1, 1, 4, "H", None, None, None, None, None)], "query_id int, rank int, id int, gene_symbol string, title string, inheritance string, kidney_manifestations string, extrarenal_manifestations string, omim_phenotype_id int")
+    seen = spark.createDataFrame([(1, 0, "1-2-A-G", "0.1", "u", {"nfe": "0.2"}), (1, 1, "1-3-A-G", None, None, None)], "query_id int, rank int, variant_id string, allele_frequency string, url string, populations map<string,string>")
+    papers = spark.createDataFrame([(1, 0, 5, "P", "z" * 301, None), (1, 1, 6, "Q", "", "here")], "query_id int, rank int, pmid int, title string, abstract string, url string")
+    sources = [cite.variant_source(variants), cite.article_source(chunks), cite.entry_source(entries), cite.frequency_source(seen), cite.abstract_source(papers)]
+    cites = cite.build_citations(sources)
+    assert [(r["number"], r["title"], r["url"]) for r in cites.orderBy("number").collect()] == [
+        (1, "ClinVar:7 - G c.1A>G, Unknown significance", "https://www.ncbi.nlm.nih.gov/clinvar/variation/7/"),
+        (2, "GeneReviews: Cond (G, H) [NBK1]", "https://www.ncbi.nlm.nih.gov/books/NBK1/"), (3, "GeneReviews:  [NBK2]", "https://www.ncbi.nlm.nih.gov/books/NBK2/"),
+        (4, "NephroGenetics: G - T", "https://omim.org/entry/99"), (5, "NephroGenetics: H - ", ""), (6, "gnomAD: 1-2-A-G, AF=0.1", "u"), (7, "gnomAD: 1-3-A-G, AF=N/A", ""),
+        (8, "PMID:5 - P", "https://pubmed.ncbi.nlm.nih.gov/5/"), (9, "PMID:6 - Q", "here"),
+    ]
+    text_ = cite.evidence_text(cite.evidence_blocks(sources, cites), place="place").first()["evidence"]
+    assert text_.split("\n\n") == [
+        "[1] ClinVar:7 - G c.1A>G (, )\nConditions: X; Y\ndoc", "[2] GeneReviews: Cond (NBK1) > A > B\nfirst", "[3] GeneReviews:  (NBK2)\nother", "[2] (continued) > A > C\nsecond",
+        "[4] NephroGenetics: G - T\nInheritance: AR\nKidney manifestations: k\nExtrarenal: {}\nOMIM: 99", "[5] NephroGenetics: H - \nInheritance: \nKidney manifestations: ",
+        "[6] gnomAD: 1-2-A-G\nAllele frequency: 0.1\nPopulations: nfe: 0.2", "[7] gnomAD: 1-3-A-G\nAllele frequency: N/A", "[8] PMID:5 - P\n" + "z" * 300 + "...", "[9] PMID:6 - Q",
+    ]
+    assert cite.build_citations([x.limit(0) for x in sources]).count() == 0
