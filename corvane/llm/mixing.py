@@ -2,9 +2,11 @@
 
 The size of the mixture is the largest at which every source can still reach its share: a source of size S that may be
 repeated m times gives at most m * S. Each document of a source then has the same expected number of copies, a whole part that
-it surely gets and a fraction. Fractions become whole by pivotal dependent rounding: two documents of a source trade mass
-along the line that keeps their joint size until one of the fractions is 0 or 1; which way is drawn so that expectations are
-kept. A source is hashed into leaves of bounded size; what a leaf leaves, one fraction, is traded on in a reduction tree.
+it surely gets and a fraction. Fractions become whole by pivotal dependent rounding: two parties trade mass along the line that
+keeps their joint size until one of them is whole; which way is drawn so that expectations are kept. Longest first, a document
+trades with all shorter ones of its source as one party, which can take up what a single partner could not; in the end the
+shortest is left. The longest of a source come first, the others are hashed into leaves of bounded size; what a leaf leaves,
+one fraction, is traded on in a reduction tree.
 """
 
 from __future__ import annotations
@@ -51,6 +53,37 @@ def pivot(fractions: list[float], sizes: list[float], draws: list[float]) -> tup
     return out, open_
 
 
+def pivot_group(fraction: float, sizes: list[float], rest: float, draws: list[float]) -> tuple[list[int], int, float, float]:
+    """Pivotal rounding of items that all have the same `fraction`, sizes falling, each against all that come after it as one party.
+
+    `rest` is the size of further items of that fraction that follow. Gives the copies (0 or 1) of every item but at most one, that
+    one's index or -1, its fraction, and the fraction that the further items have now. The sum of fraction * size is kept at every
+    step, and every item's expectation; items of no size are settled on their own draw.
+    """
+    out = [0] * len(sizes)
+    after = rest + sum(sizes)
+    f, open_, left = fraction, -1, 0.0
+    for k, a in enumerate(sizes):
+        after -= a
+        if f <= _EPS or f >= 1 - _EPS:
+            out[k] = int(f >= 0.5)
+        elif a <= 0:
+            out[k] = int(draws[k] < f)
+        elif after <= _EPS:
+            open_, left = k, f
+        else:
+            # Mass that can go from the item to the others, and back, before one party is whole.
+            there, back = min(f * a, (1 - f) * after), min((1 - f) * a, f * after)
+            move = there if draws[k] < back / (there + back) else -back
+            own = f - move / a
+            f += move / after
+            if _EPS < own < 1 - _EPS:
+                open_, left = k, own  # the others are whole
+            else:
+                out[k] = int(own >= 0.5)
+    return out, open_, left, min(1.0, max(0.0, f))
+
+
 def plan_sources(sizes: DataFrame, targets: DataFrame, source: str = "source", total: float | None = None) -> DataFrame:
     """(source, target_share, size, n_docs, expected_copies): how often a document of each source is expected.
 
@@ -75,48 +108,64 @@ def plan_sources(sizes: DataFrame, targets: DataFrame, source: str = "source", t
     )
 
 
-def _settle(rows: DataFrame, seed: int, fan_in: int) -> DataFrame:
-    """`rows` with the whole copies that pivotal rounding gives them added to `base`: leaves, reduction tree, root."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("settled", T.BooleanType())])
+def _node(rows: pd.DataFrame, seed: int, level: int, rest: float | None) -> pd.DataFrame:
+    """`rows`, of one source, with whole copies, but for one open fraction at most; with `rest`, all have one fraction."""
+    rows = rows.sort_values(["n_tokens", "_row"], ascending=[False, True], ignore_index=True)
+    sizes, fraction = rows["n_tokens"].tolist(), rows["fraction"].tolist()
+    # A generator of the node's own, fed in a fixed order: a repeated task decides alike.
+    draws = np.random.Generator(np.random.Philox(key=[seed, (int(rows["_row"].min()) << 8) + level])).random(len(rows)).tolist()
+    left, settled = np.zeros(len(rows)), np.ones(len(rows), bool)
+    if rest is None:
+        whole, open_ = pivot(fraction, sizes, draws)
+        after, open_fraction = 0.0, fraction[open_]
+    else:
+        whole, open_, open_fraction, after = pivot_group(fraction[0], sizes, rest, draws)
+    if open_ >= 0:
+        left[open_], settled[open_] = open_fraction, False
+    return rows.assign(base=rows["base"] + np.array(whole), fraction=left, settled=settled, after=after)
 
-    def rounded(rows: pd.DataFrame, level: int) -> pd.DataFrame:
-        """`rows`, of one source, with whole copies, but for one open fraction at most.
 
-        Longest first: a long document left open trades with the many shorter ones after it, so what stays open is short.
-        """
-        rows = rows.sort_values(["n_tokens", "_row"], ascending=[False, True], ignore_index=True)
-        fraction = rows["fraction"].tolist()
-        # A generator of the node's own, fed in a fixed order: a repeated task decides alike.
-        draws = np.random.Generator(np.random.Philox(key=[seed, (int(rows["_row"].min()) << 8) + level])).random(len(rows))
-        whole, open_ = pivot(fraction, rows["n_tokens"].tolist(), draws.tolist())
-        left, settled = np.zeros(len(rows)), np.ones(len(rows), bool)
-        if open_ >= 0:
-            left[open_], settled[open_] = fraction[open_], False
-        return rows.assign(base=rows["base"] + np.array(whole), fraction=left, settled=settled)
+def _settle(rows: DataFrame, seed: int, leaf_rows: int, fan_in: int) -> DataFrame:
+    """`rows` with the whole copies that pivotal rounding gives them added to `base`: longest, leaves, reduction tree, root.
+
+    All rows of a source have one fraction; `size` is what they have together.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("settled", T.BooleanType()), T.StructField("after", T.DoubleType())])
+    # The limit is applied before the shuffle as well (WindowGroupLimit).
+    longest = Window.partitionBy("source").orderBy(F.col("n_tokens").desc(), "_row")
+    ranked = rows.withColumn("_rank", F.row_number().over(longest))
+    first = ranked.where(F.col("_rank") <= leaf_rows).drop("_rank")
+    step = cut_lineage(first.groupBy("source").applyInPandas(lambda g: _node(g, seed, 0, max(0.0, float(g["size"].iloc[0]) - float(g["n_tokens"].sum()))), schema))
+    settled, open_ = step.where("settled"), step.where("NOT settled")
+    # What is left of a source shares the fraction that its longest have left it; sources that are done have none.
+    after = broadcast_if_small(step.groupBy("source").agg(F.max("after").alias("_after")))
+    beyond = rows.join(step.select("_row"), "_row", "left_anti").join(after, "source").withColumn("fraction", F.col("_after")).drop("_after")
+    leaf = cut_lineage(beyond.groupBy("source", "_node").applyInPandas(lambda g: _node(g, seed, 1, 0.0), schema))
+    settled, open_ = settled.unionByName(leaf.where("settled")), open_.unionByName(leaf.where("NOT settled"))
 
     def at(level: int):
-        return lambda node: rounded(node, level)
+        return lambda node: _node(node, seed, level, None)
 
-    step = cut_lineage(rows.groupBy("source", "_node").applyInPandas(at(0), schema))
-    settled, open_, level = step.where("settled"), step.where("NOT settled"), 0
-    nodes = (open_.agg(F.max("_node")).first()[0] or 0) + 1
-    while nodes > 1:
-        # A node of the tree holds at most fan_in open rows of one source.
+    nodes, level = (open_.agg(F.max("_node")).first()[0] or 0) + 1, 1
+    while True:
+        # A node of the tree holds at most fan_in + 1 open rows of one source.
         level, nodes = level + 1, -(-nodes // fan_in)
-        up = open_.drop("settled").withColumn("_node", F.floor(F.col("_node") / fan_in).cast("int"))
+        up = open_.drop("settled", "after").withColumn("_node", F.floor(F.col("_node") / fan_in).cast("int"))
         step = cut_lineage(up.groupBy("source", "_node").applyInPandas(at(level), schema))
         settled, open_ = settled.unionByName(step.where("settled")), step.where("NOT settled")
+        if nodes <= 1:
+            break
     # The root: one fraction per source at most, settled by its own draw.
     draw = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
     last = open_.withColumn("base", F.col("base") + F.when(draw < F.col("fraction"), 1).otherwise(0))
-    return settled.unionByName(last).drop("settled")
+    return settled.unionByName(last).drop("settled", "after")
 
 
 def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: str = "source", total: float | None = None, seed: int = 7, leaf_rows: int = 20_000, fan_in: int = 16) -> DataFrame:
     """(id, source, n_tokens, copies, target_share, source_share): every row of `sizes` with the copies it was given.
 
     Over the draws of `seed` every row's copies have the expectation of its source, exactly. A source's total misses its target by
-    no more than its last open document, which is one of the shortest unless a single one outweighs all others.
+    no more than its last open document: the shortest, or one that outweighs all shorter ones of its source together.
 
     A row has floor or ceiling of its source's expected copies, never more than max_repeats; 0 is "not chosen" and stays in the
     result. source_share is what the source reached of the mixture's tokens. Rows whose source is null or has no target get
@@ -134,11 +183,10 @@ def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: st
         (copies - F.floor(copies)).alias("fraction"),
         F.pmod(F.xxhash64("_row", F.lit(seed)), leaves).cast("int").alias("_node"),
         F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
+        F.coalesce("size", F.lit(0)).alias("size"),
     )
-    # All sizes go through the same tree. A trade keeps both expectations whatever the sizes, so a document that is most of
-    # its source is as likely to be chosen as a short one; it is open until the shorter ones have taken up its mass.
     open_rows = F.col("fraction") > _EPS
-    whole = shape.where(~open_rows).unionByName(_settle(shape.where(open_rows), seed, fan_in))
+    whole = shape.where(~open_rows).unionByName(_settle(shape.where(open_rows), seed, leaf_rows, fan_in)).drop("size")
     whole = cut_lineage(whole)
     reached = whole.groupBy("source").agg(F.sum(F.col("base") * F.col("n_tokens")).alias("_t"))
     reached = reached.withColumn("source_share", F.coalesce(F.col("_t") / F.nullif(F.sum("_t").over(Window.partitionBy(F.lit(0))), F.lit(0)), F.lit(0.0)))

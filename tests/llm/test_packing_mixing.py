@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from corvane.llm.mixing import mix, mixture_report, pivot, plan_sources
+from corvane.llm.mixing import mix, mixture_report, pivot, pivot_group, plan_sources
 from corvane.llm.packing import Capacity, best_fit, fill_containers
 from corvane.llm.tokens import count_tokens, encoder, DEFAULT_VOCABULARY, token_sizes
 
@@ -88,13 +88,15 @@ def test_expectation_holds_beside_a_giant(giant, tail):
     """A document of any part of its source, below and above every earlier limit, keeps its own and the others' expectation."""
     rng, trials = random.Random(5), 6_000
     sizes = sorted([giant, *tail], reverse=True)
-    for p in (0.3, 0.1):
+    for p, split in ((0.3, 1), (0.1, 2)):
         hits = [0] * len(sizes)
         for _ in range(trials):
-            f = [p] * len(sizes)
-            out, open_ = pivot(f, sizes, [rng.random() for _ in sizes])
-            for i, o in enumerate(out):
-                hits[i] += o + (f[i] if i == open_ else 0)
+            # With and without items that are settled later with the fraction that is left to them.
+            n = len(sizes) // split
+            out, open_, left, after = pivot_group(p, sizes[:n], sum(sizes[n:]), [rng.random() for _ in sizes])
+            got = [o + (left if i == open_ else 0) for i, o in enumerate(out)] + [after] * (len(sizes) - n)
+            assert abs(sum(g * s for g, s in zip(got, sizes)) - p * sum(sizes)) < 1e-6 * sum(sizes)
+            hits = [h + g for h, g in zip(hits, got)]
         at = sizes.index(giant)
         assert abs(hits[at] / trials - p) < 0.02
         assert abs((sum(hits) - hits[at]) / trials / len(tail) - p) < 0.01
