@@ -105,14 +105,16 @@ def protein_form(token: Column) -> Column:
 
 
 def variant_tokens(text: Column | str) -> Column:
-    """Struct of c_hgvs, p_hgvs, transcript, rsid, gene and has_variant_token; missing parts are null.
+    """Struct of c_hgvs, p_hgvs, transcript, rsid, gene, has_variant_token and raw_tokens; missing parts are null.
 
+    raw_tokens are the first nucleotide token, of any type, and the first protein token, as written.
     Only a first nucleotide token of type c counts as c_hgvs; gene is the first upper-case token that is not a stop word.
     """
     text = _col(text)
     token = _first(text, NUCLEOTIDE)
     c = F.when(F.lower(F.substring(token, 1, 1)) == "c", nucleotide_form(token))
-    p = protein_form(_first(text, PROTEIN))
+    protein = _first(text, PROTEIN)
+    p = protein_form(protein)
     rs = F.lower(_first(text, RSID))
     genes = F.filter(F.regexp_extract_all(text, F.lit(GENE), 1), lambda g: ~g.isin(NOT_GENES))
     return F.struct(
@@ -122,6 +124,7 @@ def variant_tokens(text: Column | str) -> Column:
         rs.alias("rsid"),
         F.get(genes, F.lit(0)).alias("gene"),
         (c.isNotNull() | p.isNotNull() | rs.isNotNull()).alias("has_variant_token"),
+        F.array_compact(F.array(token, protein)).alias("raw_tokens"),
     )
 
 
@@ -228,3 +231,9 @@ def gnomad_id(name: Column | str) -> Column:
 def is_identifier(name: str) -> bool:
     """Whether a table name is safe in a statement."""
     return bool(name) and all(ch.isascii() and (ch.isalnum() or ch == "_") for ch in name)
+
+
+# What switches a setting on.
+def is_on(setting: Column | str) -> Column:
+    """Whether a setting is switched on, in any case and with blanks around it; null is off."""
+    return F.coalesce(F.lower(F.trim(_col(setting))).isin("1", "true", "yes", "on"), F.lit(False))

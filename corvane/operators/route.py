@@ -6,6 +6,9 @@ best tier that has rows for it.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,12 +108,13 @@ def article_top_k(chunks: DataFrame, questions: DataFrame, k: int = 5, threshold
     return near.select(text, key, "similarity", "place").unionByName(everywhere.select(text, key, "similarity", "place"))
 
 
-def route_sources(questions: DataFrame, variants: DataFrame, chunks: DataFrame, entries: DataFrame, abstracts: DataFrame | None = None, k: int = 10, text: str = "text", qvec: str = "qvec", article_floor: float = 0.6, entry_floor: float = 0.3) -> DataFrame:
+def route_sources(questions: DataFrame, variants: DataFrame, chunks: DataFrame, entries: DataFrame, abstracts: DataFrame | None = None, k: int = 10, text: str = "text", qvec: str = "qvec", article_floor: float = 0.6, entry_floor: float = 0.3, on_step: Callable[[str, int, int], None] | None = None) -> DataFrame:
     """(text, source, key, tier, place): what every source has on every question; keys are text.
 
     Questions without a clinical signal get nothing. Variants are asked for questions on a gene or variant, by the best of
     their tiers; articles always, anchored on the question's genes if it names any; gene table entries where it has a renal term;
-    and of `abstracts` (gene, pmid, rank) the first two on its first gene. `questions` has text, qvec and what
+    and of `abstracts` (gene, pmid, rank) the first two on its first gene. With `on_step` every source is carried out by itself and
+    then reported: its name, its records and the questions that it has any on; an error in the report is logged and ignored. `questions` has text, qvec and what
     `corvane.functions.parse` makes of the text: genes and tok.
     """
     from corvane.functions.parse import has_clinical_signal, has_renal_terms
@@ -125,7 +129,14 @@ def route_sources(questions: DataFrame, variants: DataFrame, chunks: DataFrame,
     if abstracts is not None:
         first = asked.where(F.size("genes") > 0).select(text, F.get("genes", F.lit(0)).alias("gene"))
         parts.append(on(top_k(first.join(abstracts, "gene"), 2, [text], [F.col("rank"), F.col("pmid")]), "PubMed", "pmid"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = None
+    for part, source in zip(parts, ("ClinVar", "GeneReviews", "NephroGenetics", "PubMed")):
+        if on_step is not None:
+            part = cut_lineage(part)
+            n, of = part.agg(F.count("*"), F.countDistinct(text)).first()
+            try:
+                on_step(source, n, of)
+            except Exception:
+                logging.getLogger(__name__).exception("the report on %s failed", source)
+        out = part if out is None else out.unionByName(part)
     return out

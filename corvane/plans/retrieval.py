@@ -269,6 +269,21 @@ def q_classify(spark, sf_dir):
     return every_question(spark, sf_dir).groupBy("query_type").agg(F.count("*").alias("n"))
 
 
+@registry.query(
+    "q_question_tokens",
+    sql=f"""WITH q AS (SELECT text, regexp_extract_all(plain, '\\b([A-Z][A-Z0-9]{{1,9}})\\b', 1) AS caps, nullif(regexp_extract(plain, '\\b([NX][MRCG]_[0-9]+\\.[0-9]+)\\b', 1), '') AS transcript,
+                 regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9])([cgmn]\\.\\s*[0-9][0-9_+\\-*]*(?:[ACGT]+)?(?:(?:>|&gt;)[ACGT]+|del[ACGT]*|dup[ACGT]*|ins[ACGT]+|delins[ACGT]+)?)', 1) AS nt,
+                 nullif(regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9])(p\\.\\(?[A-Z][a-z]{{0,2}}[0-9]+(?:[A-Z][a-z]{{0,2}}|=|\\*|Ter|fs(?:Ter)?[0-9]*|del|dup)?\\)?)', 1), '') AS pt,
+                 nullif(lower(regexp_extract(plain, '(?i)\\b(rs[0-9]+)\\b', 1)), '') AS rsid FROM {_ASKED_SQL})
+    SELECT text, CASE WHEN lower(nt[1]) = 'c' THEN lower(replace(regexp_replace(nt, '\\s', '', 'g'), '&gt;', '>')) END AS c, lower(regexp_replace(pt, '[\\s()]', '', 'g')) AS p, transcript, rsid,
+      list_filter(caps, lambda x: NOT list_contains([{_STOP_SQL}], x))[1] AS gene FROM q""",
+)
+def q_question_tokens(spark, sf_dir):
+    """What is parsed from every distinct question of the log."""
+    t = F.col("tok")
+    return every_question(spark, sf_dir).select("text", F.lower(t["c_hgvs"]).alias("c"), F.lower(t["p_hgvs"]).alias("p"), t["transcript"].alias("transcript"), t["rsid"].alias("rsid"), t["gene"].alias("gene"))
+
+
 @registry.query(
     "q_route_tiers",
     sql=f"""WITH cur AS ({CURRENT}),

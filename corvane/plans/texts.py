@@ -57,7 +57,7 @@ def _sql_value(v):
     + ") t(text, c_hgvs, p_hgvs, transcript, rsid, gene, has_variant_token)",
 )
 def q_variant_tokens(spark, sf_dir):
-    return literals(spark, "text", list(_TOKENS)).select("text", parse.variant_tokens("text").alias("t")).select("text", "t.*")
+    return literals(spark, "text", list(_TOKENS)).select("text", parse.variant_tokens("text").alias("t")).select("text", F.col("t").dropFields("raw_tokens").alias("t")).select("text", "t.*")
 
 
 @registry.query(

@@ -81,23 +81,35 @@ def read_gene_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.where((F.col("gene") != "") & (F.col("gene") != "NOT APPLICABLE"))
 
 
-def sheet_table(spark: SparkSession, source: str | pd.DataFrame, header: int = 4, systems: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """(gene_symbol, omim_phenotype_id, omim_gene_id, title, inheritance, manifestations, document) of a sheet read by position.
-
-    `source` is a table in memory, or the path of a CSV file or workbook (a workbook needs its reader installed). The first five
-    columns are the fields; `systems` names the column ranges, both ends included, of the manifestations, whose non-empty
-    cells are joined by "; ". Sheets hold hundreds of rows and are read on the driver.
+# The columns of the gene sheet by position, and those of its organ systems (first and last).
+SHEET_FIELDS = {"gene_symbol": 0, "panel_categories": 1, "omim_phenotype_id": 4, "omim_gene_id": 5, "title": 6, "inheritance": 7, "kidney_manifestations": 9}
+SHEET_SYSTEMS = {
+    "height": (10, 10), "weight": (11, 11), "face": (14, 14), "ears": (15, 15), "eyes": (16, 16), "nose": (17, 17), "mouth": (18, 18), "teeth": (19, 19), "neck": (20, 20),
+    "heart": (21, 21), "vascular": (22, 22), "respiratory": (24, 27), "liver": (34, 34), "pancreas": (35, 35), "gastrointestinal": (38, 38), "genitourinary": (40, 45),
+    "skull": (47, 47), "spine": (48, 48), "limbs": (50, 50), "hands": (51, 51), "feet": (52, 52), "skin": (53, 53), "nails": (56, 56), "hair": (57, 57), "muscle": (58, 58),
+    "cns": (60, 60), "peripheral_nervous": (61, 61), "behavioral": (62, 62), "metabolic": (64, 64), "endocrine": (65, 65), "hematology": (66, 66), "immunology": (67, 67),
+    "neoplasia": (68, 68),
+}
+
+
+def sheet_table(spark: SparkSession, source: str | pd.DataFrame, header: int = 4, fields: dict[str, int] = SHEET_FIELDS, systems: dict[str, tuple[int, int]] = SHEET_SYSTEMS) -> DataFrame:
+    """(*fields, extrarenal_manifestations, document) of a sheet read by position.
+
+    `source` is a table in memory, or the path of a CSV file or workbook (a workbook needs its reader installed). `fields` names
+    columns, `systems` column ranges, both ends included, whose non-empty cells are joined by "; "; columns that the sheet does not
+    have are empty. Rows without gene_symbol are left out. Sheets hold hundreds of rows and are read on the driver.
     """
     if isinstance(source, str):
         source = pd.read_csv(source, header=header, dtype=str) if source.lower().endswith((".csv", ".tsv")) else pd.read_excel(source, header=header, dtype=str)
     sheet = source.astype(object).where(source.notna(), None)
-    sheet.columns = [f"c{i}" for i in range(sheet.shape[1])]
-    raw = spark.createDataFrame(sheet, ", ".join(f"c{i} string" for i in range(sheet.shape[1])))
-    fields = ("gene_symbol", "omim_phenotype_id", "omim_gene_id", "title", "inheritance")
-    cells = {name: [F.nullif(F.trim(f"c{i}"), F.lit("")) for i in range(a, b + 1)] for name, (a, b) in (systems or {}).items()}
-    pairs = [x for name, cs in cells.items() for x in (F.lit(name), F.concat_ws("; ", *cs))]
+    width = sheet.shape[1]
+    sheet.columns = [f"c{i}" for i in range(width)]
+    raw = spark.createDataFrame(sheet, ", ".join(f"c{i} string" for i in range(width)))
+    cell = lambda i: F.nullif(F.trim(f"c{i}"), F.lit("")) if i < width else F.lit(None).cast("string")
+    pairs = [x for name, (a, b) in systems.items() for x in (F.lit(name), F.concat_ws("; ", *[cell(i) for i in range(a, b + 1)]))]
     shown = F.map_filter(F.create_map(*pairs), lambda k, v: v != "") if pairs else F.create_map().cast("map<string,string>")
-    rows = raw.select(*[F.trim(f"c{i}").alias(f) for i, f in enumerate(fields)], shown.alias("manifestations")).where(F.coalesce("gene_symbol", F.lit("")) != "")
-    listed = F.concat_ws("; ", F.transform(F.map_entries("manifestations"), lambda e: F.concat(F.initcap(F.regexp_replace(e["key"], "_", " ")), F.lit(": "), e["value"])))
-    said = [F.concat(F.lit(label), F.nullif(F.col(c), F.lit("")), F.lit(".")) for label, c in (("Gene: ", "gene_symbol"), ("Condition: ", "title"), ("Inheritance: ", "inheritance"))]
-    return rows.withColumn("document", F.concat_ws(" ", *said, F.nullif(listed, F.lit(""))))
+    rows = raw.select(*[cell(i).alias(name) for name, i in fields.items()], shown.alias("extrarenal_manifestations")).where("gene_symbol IS NOT NULL")
+    listed = F.array_join(F.transform(F.map_entries("extrarenal_manifestations"), lambda e: F.concat(F.initcap(F.regexp_replace(e["key"], "_", " ")), F.lit(": "), e["value"])), "; ")
+    labels = (("Gene: ", "gene_symbol"), ("Condition: ", "title"), ("Inheritance: ", "inheritance"), ("Kidney manifestations: ", "kidney_manifestations"))
+    said = [F.concat(F.lit(label), F.col(c)) for label, c in labels if c in fields]
+    return rows.withColumn("document", F.concat_ws(" ", *said, F.concat(F.lit("Extrarenal manifestations: "), F.nullif(listed, F.lit("")))))

@@ -200,3 +200,9 @@ def test_evidence_of_five_sources(spark):
         "[6] gnomAD: 1-2-A-G\nAllele frequency: 0.1\nPopulations: nfe: 0.2", "[7] gnomAD: 1-3-A-G\nAllele frequency: N/A", "[8] PMID:5 - P\n" + "z" * 300 + "...", "[9] PMID:6 - Q",
     ]
     assert cite.build_citations([x.limit(0) for x in sources]).count() == 0
+
+
+def test_raw_tokens_and_settings(spark):
+    df = spark.createDataFrame([("g.43T>C and p.(Arg1Ter)", " YES "), ("c. 5delA", "0"), ("none", None)], "t string, s string")
+    assert [r[0] for r in df.select(parse.variant_tokens("t")["raw_tokens"]).collect()] == [["g.43T>C", "p.(Arg1Ter)"], ["c. 5delA"], []]
+    assert [r[0] for r in df.select(parse.is_on("s")).collect()] == [True, False, False]

@@ -93,5 +93,14 @@ def test_sources_of_a_question(spark, corpus):
         assert out.get((a, "NephroGenetics"), []) == (nearest([tuple(r) for r in entries.collect()], vec(i), 3, 0.0) if i in (1, 2) else [])
         assert (out.get((a, "ClinVar")) is not None) == (i == 0)
     assert out[asked[0], "PubMed"] == [3, 2] and not any(a == "hello there" for a, _ in out)
+    steps = []
+
+    def report(source, n, of):
+        steps.append((source, n, of))
+        raise ValueError("reports may fail")
+
+    again = route_sources(q, corpus, chunks, entries, abstracts, k=3, article_floor=0.1, entry_floor=0.0, on_step=report)
+    assert again.count() == sum(map(len, out.values())) == sum(n for _, n, _ in steps) and [x for x, _, _ in steps] == ["ClinVar", "GeneReviews", "NephroGenetics", "PubMed"]
+    assert steps[3] == ("PubMed", 2, 1)
     only = article_top_k(chunks, q, 3, 0.1, types=["y"]).join(chunks, "id")
     assert only.where("section_type <> 'y' OR retired").count() == 0 and only.count() > 0

@@ -42,10 +42,14 @@ def test_metadata(spark, tmp_path):
 
 
 def test_sheet(spark):
-    df = pd.DataFrame([["G1", "1", "2", "T", "AR", "big", None, "x"], [None] * 8])
-    got = tables.sheet_table(spark, df, systems={"eyes": (5, 6), "ears_and_nose": (7, 7)}).collect()
-    assert len(got) == 1 and got[0]["manifestations"] == {"eyes": "big", "ears_and_nose": "x"}
-    assert got[0]["document"] == "Gene: G1. Condition: T. Inheritance: AR. Eyes: big; Ears And Nose: x"
+    cells = {0: "G1", 1: "panel", 4: "1", 5: "2", 6: "T", 7: "AR", 9: "big", 16: " blue ", 24: "x", 27: "y", 61: "z", 68: " "}
+    df = pd.DataFrame([[cells.get(i) for i in range(70)], [None] * 70, ["G2"] + [None] * 69])
+    one, two = tables.sheet_table(spark, df).orderBy("gene_symbol").collect()
+    assert one["extrarenal_manifestations"] == {"eyes": "blue", "respiratory": "x; y", "peripheral_nervous": "z"} and one["omim_phenotype_id"] == "1" and one["panel_categories"] == "panel"
+    assert one["document"] == "Gene: G1 Condition: T Inheritance: AR Kidney manifestations: big Extrarenal manifestations: Eyes: blue; Respiratory: x; y; Peripheral Nervous: z"
+    assert two["document"] == "Gene: G2" and two["extrarenal_manifestations"] == {} and len(tables.SHEET_SYSTEMS) == 33
+    narrow = tables.sheet_table(spark, df.iloc[:, :8], systems={"eyes": (5, 6), "ears": (90, 91)}).orderBy("gene_symbol").first()
+    assert narrow["extrarenal_manifestations"] == {"eyes": "2; T"} and narrow["kidney_manifestations"] is None
 
 
 def test_articles(spark, tmp_path):
