@@ -37,6 +37,30 @@ def p1_sanitised(spark, sf_dir):
     return clean.select("id", "field_name", "clean", F.array_join("types", ",").alias("types"))
 
 
+@_query
+def p1_planted(spark, sf_dir):
+    """Every question of the log with details of four types put behind it, and what becomes of them."""
+    logs = table(spark, sf_dir, "audit_logs").where("query_text IS NOT NULL").select("id", "query_text").distinct()
+    planted = logs.withColumn("query_text", F.concat("query_text", F.lit("\nSigned by Dr Zorba Quill, zorba.quill@mail.test, +1 415 555 0195, 12 Mill Road.")))
+    clean = sanitise(planted, "id", ["query_text"], table(spark, sf_dir, "person_names"))
+    return clean.select("id", F.substring_index("clean", "\n", -1).alias("tail")).distinct()
+
+
+_SQL["p1_planted"] = "SELECT DISTINCT id, 'Signed by Dr [NAME], [EMAIL], [PHONE], [ADDRESS].' AS tail FROM audit_logs WHERE query_text IS NOT NULL"
+
+
+@_query
+def p3_planted(spark, sf_dir):
+    """The questions of the log with themselves in presenting words, with nothing, or with an answer behind them."""
+    logs = table(spark, sf_dir, "audit_logs").where("length(trim(query_text)) > 8").groupBy("id").agg(F.min("query_text").alias("query_text"))
+    given = F.when(F.col("id") % 3 == 0, F.concat(F.lit('You asked: "'), "query_text", F.lit('"'))).when(F.col("id") % 3 == 1, F.lit(" [1]"))
+    answer = F.concat("query_text", F.lit("\nDie Antwort darauf liegt in der Akte, die Labore haben sie geprüft und bestätigt."))
+    return find_defects(logs.withColumn("response_text", given.otherwise(answer))).where("defect IN ('copied', 'empty')")
+
+
+_SQL["p3_planted"] = "SELECT DISTINCT id, CASE id % 3 WHEN 0 THEN 'copied' ELSE 'empty' END AS defect FROM audit_logs WHERE length(trim(query_text)) > 8 AND id % 3 < 2"
+
+
 @_query
 def p3_found(spark, sf_dir):
     return find_defects(table(spark, sf_dir, "audit_logs"))
