@@ -41,19 +41,17 @@ def cosine_sql(a: str, b: str) -> str:
     return f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
-def question_rows(corpus, single: bool = False):
-    """The stated set of questions: every record whose id is divisible by 100, or the first of them."""
+def question_rows(corpus):
+    """The stated set of questions: every record whose id is divisible by 100."""
     asked = corpus.where((F.col("id") % 100 == 0) & F.col("embedding").isNotNull())
-    if single:
-        asked = asked.orderBy("id").limit(1)
     return asked.select(F.col("id").alias("query_id"), F.col("name").alias("text"), F.col("embedding").alias("qvec"))
 
 
-def _hybrid_sql(pool: int, floor: float, k: int, single: bool) -> str:
+def _hybrid_sql(pool: int, floor: float, k: int) -> str:
     return rf"""
     WITH cur AS ({CURRENT}),
     q AS (SELECT id AS query_id, name AS text, embedding AS qvec, {trigram_sql('name')} AS qt FROM cur
-          WHERE id % 100 = 0 AND embedding IS NOT NULL {"ORDER BY id LIMIT 1" if single else ""}),
+          WHERE id % 100 = 0 AND embedding IS NOT NULL),
     v AS (SELECT variation_id, embedding FROM cur WHERE embedding IS NOT NULL AND {unit_sql('embedding')}),
     s AS (SELECT query_id, variation_id, {cosine_sql('qvec', 'embedding')} AS semantic FROM q, v WHERE {unit_sql('qvec')}
           QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 12) DESC, variation_id) <= {pool}),
@@ -74,33 +72,33 @@ def _hybrid_sql(pool: int, floor: float, k: int, single: bool) -> str:
     """
 
 
-def _hybrid(spark, sf_dir, single, k=5, **kw):
+def _hybrid(spark, sf_dir, k=5, **kw):
     # Written once: the questions and both legs read it.
     cur = cut_lineage(current_variants(spark, sf_dir).select("id", "variation_id", "name", "document", "embedding"))
-    out = R.hybrid(cur, "variation_id", "embedding", ["name", "document"], question_rows(cur, single), k=k, **kw)
+    out = R.hybrid(cur, "variation_id", "embedding", ["name", "document"], question_rows(cur), k=k, **kw)
     return out.select("query_id", "variation_id", F.round("score", 6).alias("score"), "place")
 
 
-@registry.query("q_hybrid_topk", sql=_hybrid_sql(200, 0.2, 10, True))
+@registry.query("q_hybrid_topk", sql=_hybrid_sql(200, 0.2, 10))
 def q_hybrid_topk(spark, sf_dir):
-    return _hybrid(spark, sf_dir, True, k=10, pool=200, floor=0.2)
+    return _hybrid(spark, sf_dir, k=10, pool=200, floor=0.2)
 
 
-@registry.query("q_hybrid_degenerate", sql=_hybrid_sql(50, 0.95, 5, True))
+@registry.query("q_hybrid_degenerate", sql=_hybrid_sql(50, 0.95, 5))
 def q_hybrid_degenerate(spark, sf_dir):
     """A floor that only the record itself passes: a single survivor scores 0."""
-    return _hybrid(spark, sf_dir, True, pool=50, floor=0.95)
+    return _hybrid(spark, sf_dir, pool=50, floor=0.95)
 
 
-@registry.query("q_hybrid_batch", sql=_hybrid_sql(50, 0.45, 5, False))
+@registry.query("q_hybrid_batch", sql=_hybrid_sql(50, 0.45, 5))
 def q_hybrid_batch(spark, sf_dir):
-    return _hybrid(spark, sf_dir, False)
+    return _hybrid(spark, sf_dir)
 
 
-def _semantic_sql(k: int, threshold: str, single: bool) -> str:
+def _semantic_sql(k: int, threshold: str) -> str:
     return f"""
     WITH cur AS ({CURRENT}),
-    q AS (SELECT id AS query_id, embedding AS qvec FROM cur WHERE id % 100 = 0 AND embedding IS NOT NULL {"ORDER BY id LIMIT 1" if single else ""}),
+    q AS (SELECT id AS query_id, embedding AS qvec FROM cur WHERE id % 100 = 0 AND embedding IS NOT NULL),
     s AS (SELECT query_id, variation_id, {cosine_sql('qvec', 'embedding')} AS c FROM q, cur
           WHERE embedding IS NOT NULL AND {unit_sql('embedding')} AND {unit_sql('qvec')})
     SELECT query_id, variation_id, round(c, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, variation_id) AS place
@@ -108,23 +106,23 @@ def _semantic_sql(k: int, threshold: str, single: bool) -> str:
     """
 
 
-def _semantic(spark, sf_dir, k, threshold=None, single=False):
+def _semantic(spark, sf_dir, k, threshold=None):
     cur = cut_lineage(current_variants(spark, sf_dir).select("id", "variation_id", "name", "embedding"))
-    out = R.vector_top_k(cur, "variation_id", "embedding", question_rows(cur, single), "query_id", "qvec", k, threshold)
+    out = R.vector_top_k(cur, "variation_id", "embedding", question_rows(cur), "query_id", "qvec", k, threshold)
     return out.select("query_id", "variation_id", F.round("similarity", 6).alias("similarity"), "place")
 
 
-@registry.query("q_semantic_topk", sql=_semantic_sql(10, "true", True))
+@registry.query("q_semantic_topk", sql=_semantic_sql(10, "true"))
 def q_semantic_topk(spark, sf_dir):
-    return _semantic(spark, sf_dir, 10, single=True)
+    return _semantic(spark, sf_dir, 10)
 
 
-@registry.query("q_semantic_threshold", sql=_semantic_sql(10, "c > 0.6", False))
+@registry.query("q_semantic_threshold", sql=_semantic_sql(10, "c > 0.6"))
 def q_semantic_threshold(spark, sf_dir):
     return _semantic(spark, sf_dir, 10, threshold=0.6)
 
 
-@registry.query("q_semantic_batch", sql=_semantic_sql(5, "true", False))
+@registry.query("q_semantic_batch", sql=_semantic_sql(5, "true"))
 def q_semantic_batch(spark, sf_dir):
     return _semantic(spark, sf_dir, 5)
 
