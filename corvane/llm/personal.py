@@ -136,6 +136,11 @@ def _parts(word: str) -> tuple[str, ...]:
     return tuple(p.lower().replace("’", "'") for p in re.split(r"[-–‑]", word) if p)
 
 
+def _terms(text: str) -> set[str]:
+    """Every term of a text, and what stands after the first two letters of it, as O' and D' may be left out."""
+    return {q for w in set(_WORD.findall(text)) for p in _parts(w) for q in (p, p[2:]) if q}
+
+
 def _is_initial(w: str) -> bool:
     return len(w) == 2 and w.endswith(".")
 
@@ -282,21 +287,46 @@ def disclosure(df: DataFrame, text_col: str, names: DataFrame | None = None, nam
     is `threshold` or more of the person's own information, -log2 P(person): at 1 only terms that are never anything else, at 0 all
     that are persons more often than words with a capital are at all. A context tells by the same measure; one of two tokens
     that does not, though its nearer token alone would, is listed with tells = false.
+
+    Listed names are sent to every task if there are at most `max_terms` of them; beyond that each text's own terms are joined with
+    them instead, with the same result.
     """
     spark = df.sparkSession
     listed_rows = names.where(F.col(name_col).isNotNull()).select(F.lower(name_col).alias("term")).distinct() if names is not None else None
-    # More listed names than fit go without their pairs as a beginning; titles and mail addresses begin for all.
     first = listed_rows.limit(max_terms + 1).collect() if listed_rows is not None else []
-    shared = spark.sparkContext.broadcast(frozenset(r[0] for r in first) if len(first) <= max_terms else frozenset())
+    texts = df.select(F.col(text_col).alias("text"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            c = co_occurrences([t if isinstance(t, str) else None for t in b["text"]], shared.value)
-            keys = list(c)
-            yield pd.DataFrame({"term": [k[0] for k in keys], "left": [k[1] for k in keys], "right": [k[2] for k in keys], "sure": [float(k[3]) for k in keys], "n": [c[k] for k in keys]})
+    def table_of(c: Counter) -> pd.DataFrame:
+        keys = list(c)
+        return pd.DataFrame({"term": [k[0] for k in keys], "left": [k[1] for k in keys], "right": [k[2] for k in keys], "sure": [float(k[3]) for k in keys], "n": [c[k] for k in keys]})
 
     # Summed per batch, then per partition, before the shuffle.
-    counted = df.select(F.col(text_col).alias("text")).mapInPandas(count, "term string, left string, right string, sure double, n long")
+    schema = "term string, left string, right string, sure double, n long"
+    if len(first) <= max_terms:
+        shared = spark.sparkContext.broadcast(frozenset(r[0] for r in first))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield table_of(co_occurrences([t if isinstance(t, str) else None for t in b["text"]], shared.value))
+
+        counted = texts.mapInPandas(count, schema)
+    else:
+
+        def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([(row, x) for row, text in zip(b["_row"], b["text"]) if isinstance(text, str) for x in _terms(text)], columns=["_row", "term"])
+
+        def count_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                c: Counter = Counter()
+                for text, listed in zip(b["text"], b["listed"]):
+                    c.update(co_occurrences([text if isinstance(text, str) else None], frozenset(listed if listed is not None else ())))
+                yield table_of(c)
+
+        # More listed names than fit are joined with each text's own terms, which its length bounds.
+        rows = cut_lineage(texts.withColumn("_row", F.monotonically_increasing_id()))
+        hits = rows.mapInPandas(own, "_row long, term string").join(listed_rows, "term").groupBy("_row").agg(F.collect_list("term").alias("listed"))
+        counted = rows.join(hits, "_row", "left").select("text", "listed").mapInPandas(count_own, schema)
     seen = cut_lineage(counted.groupBy("term", "left", "right", "sure").agg(F.sum("n").alias("n")))
     capital = seen.where(F.col("left").isNotNull())
     small = seen.where(F.col("left").isNull()).groupBy("term").agg(F.sum("n").alias("small"))
@@ -503,7 +533,7 @@ def sanitise(df: DataFrame, id_col: str, fields: list[str], names: DataFrame | N
             for row, text in zip(b["_row"], b["text"]):
                 around = _Around(text, find_forms(text))
                 words = list(_WORD.finditer(text))
-                rows += [(row, "term", x) for x in {q for m in words for p in _parts(m.group()) for q in (p, p[2:]) if len(q) > 1}]
+                rows += [(row, "term", x) for x in _terms(text)]
                 for side, twos in (("left", {around.left(m.start()) for m in words}), ("right", {around.right(m.end()) for m in words})):
                     rows += [(row, side, x) for x in twos | {t.split(" ")[-1 if side == "left" else 0] for t in twos}]
             yield pd.DataFrame(rows, columns=["_row", "side", "context"])

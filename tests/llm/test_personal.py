@@ -104,6 +104,18 @@ def test_sanitise_and_its_two_ways(spark):
     assert got[201, "query_text"]["clean"].startswith("[NAME], at home word") and got[200, "response_text"]["clean"] == ""
 
 
+def test_listed_names_beyond_the_limit_tell_as_well(spark):
+    """People whom nothing but the list gives away, in pairs, and a listed name of one letter."""
+    df, people = held_out(spark)
+    df = df.where("id < 100 OR id >= 200").unionByName(spark.createDataFrame([(300, "Ditta är Bram X som skriver.")], df.schema))
+    names = spark.createDataFrame([(x,) for p in people for x in p.split()] + [("X",), (None,)], "name_part string")
+    ways = [{(r["id"], r["clean"]) for r in sanitise(df, "id", ["query_text"], names, max_terms=n).collect()} for n in (500_000, 12, 0)]
+    assert ways[0] == ways[1] == ways[2]
+    assert {(i, FRAMES[i % 5].format("[NAME]")) for i in range(60)} | {(300, "Ditta är [NAME] som skriver.")} <= ways[0]
+    learned = [{tuple(r) for r in disclosure(df, "query_text", names, max_terms=n)[1].collect()} for n in (500_000, 0)]
+    assert learned[0] == learned[1]
+
+
 def test_edges(spark):
     df = corpus(spark)
     assert sanitise(df.limit(0), "id", ["query_text"]).count() == 0
